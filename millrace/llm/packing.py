@@ -81,6 +81,18 @@ def _fillings(sizes: list[int], counts: Counter, room: int, most: int) -> list[t
     return [held for _, held in sorted(out, key=lambda x: (x[0], len(x[1])))]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """The bound of Martello and Toth: for each small size a, what must be alone, what is large, and what the rest then lacks."""
+    best = 0
+    for a in range(capacity // 2 + 1):
+        alone = sum(n for s, n in counts.items() if s > capacity - a)
+        large = {s: n for s, n in counts.items() if capacity < 2 * s and s <= capacity - a}
+        room = sum(n * (capacity - s) for s, n in large.items())
+        small = sum(s * n for s, n in counts.items() if a <= s and 2 * s <= capacity)
+        best = max(best, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 24) -> Plan:
     """As few sequences as branch and bound finds: the largest piece left is completed by each undominated filling in turn.
 
@@ -90,7 +102,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, w
     """
     counts = Counter({s: n for s, n in counts.items() if n})
     total = sum(s * n for s, n in counts.items())
-    least = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
     left, plan = Counter(counts), []

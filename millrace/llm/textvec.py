@@ -100,3 +100,23 @@ def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
         for k in range(span):
             out = mix(out * _M3 + words[k : n - span + 1 + k])
         return np.unique(out)
+
+
+def span_hashes(text: bytes, lengths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the words of one slice, and of their first bytes for each of lengths (0 where a word is shorter)."""
+    with np.errstate(over="ignore"):
+        raw = np.frombuffer(text + b" ", np.uint8)
+        low = _LOWER[raw]
+        space = _SPACE[low]
+        inside = ~space
+        starts = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
+        ends = np.flatnonzero(space & np.concatenate([[False], inside[:-1]]))
+        forward, backward = _power_table(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[low] * forward[: len(raw)], out=total[1:])
+        words = mix((total[ends] - total[starts]) * backward[starts] + (ends - starts).astype(np.uint64))
+        firsts = []
+        for n in lengths:
+            stop = np.minimum(starts + n, ends)
+            firsts.append(np.where(ends - starts >= n, mix((total[stop] - total[starts]) * backward[starts] + np.uint64(n + 1000)), np.uint64(0)))
+        return words, firsts

@@ -10,14 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import connected_components, lookup, written
 from .textvec import shingle_set, word_hashes
 
 #: Smallest hash values that a sketch keeps.
 SKETCH = 32
-#: Rounds in which the members of a list meet its centre only, before the pairs left over are listed.
-CENTRE_ROUNDS = 3
+#: Similarity from which a member of a list is near to its centre.
+NEAR = 0.5
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -54,89 +55,102 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold."""
+def _compared(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """a, b, na, nb, shared of the pairs (a, b) by their whole sets, and outside: what b has and a has not, if b is near to a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist()):
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = np.searchsorted(x, y)
+                alike = x[np.minimum(at, len(x) - 1)] == y
+                shared = int(alike.sum())
+                near = shared >= NEAR * (len(x) + len(y) - shared)
+                out.append((a, b, len(x), len(y), shared, y[~alike].view(np.int64) if near else None))
+            kinds = [*[pa.int64()] * 5, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["a", "b", "na", "nb", "shared", "outside"])
 
     sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, shared long, outside array<long>")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles.  Equal sets are one
-    class, of which the smallest doc_id stands for all.  A class's k smallest hash values make inverted lists, one for
-    each run of consecutive values as long as any linked pair must share when the sketch is its whole set; for larger sets a
-    pair at the threshold shares none with a chance below 1e-6.  In a list, all members first meet one centre, the
-    member with the most company, for CENTRE_ROUNDS rounds; then only pairs between components that are still apart are listed,
-    so groups of copies do not make all their pairs.  A union sketch six deviations below the threshold drops pairs, and
-    the exact sets confirm the others.
+    class, of which the smallest doc_id stands for all.  A class's k smallest hash values are its sketch.  Two linked sketches
+    share at least `least` values (six deviations below the threshold; exactly known for sets smaller than k), so
+    they share one of their rarest values even without the `least` - 1 most frequent: only those get inverted lists, and
+    passages of many documents get none.
+
+    The members of a list first meet its centre, the member with the most company, and no one else.  Then only these pairs
+    can still link two components: those with a member far from the centre; those near it that share a shingle which the
+    centre lacks; and those near it of which one is so much smaller than the centre that shared gaps alone can do.
+    So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
 
     Empty and null texts have n_shingles 0 and link with nothing.  A null doc_id has a null component and is kept; rows
     that share a doc_id count as one document.
     """
     t = percent / 100
-    run = max(1, min(3, math.ceil((math.ceil(1 / (1 - t)) - 1) / 2))) if t < 1 else 3
-    least = max(1, math.floor(k * max(t - 6 * math.sqrt(t * (1 - t) / k), 0)))
+    spread = 6 * math.sqrt(t * (1 - t) / k)
+    least = max(1, math.floor(k * max(t - spread, 0)))
     rows = written(sketches(docs, width, k), "sketches")
     live = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(live.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"), F.count("*").alias("copies")).select("digest", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
 
-    keys = F.expr(f"transform(sequence(0, size(sketch) - {run}), i -> xxhash64(slice(sketch, i + 1, {run})))")
-    entries = classes.where(f"size(sketch) >= {run}").select(F.explode(keys).alias("key"), "id", "n")
-    company = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    lists = written(entries.join(company, "key"), "lists")
-    score = lists.groupBy("id").agg(F.sum("members").alias("score"))
-    lists = written(lists.join(score, "id"), "lists")
+    entries = classes.select("id", "n", F.explode("sketch").alias("v"))
+    common = entries.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
+    shared = entries.join(common, "v")
+    own = Window.partitionBy("id")
+    # a sketch that is the whole set misses at most what its partner's sketch has no room for
+    overlap = F.when(F.col("n") <= k, F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") * 100 / percent + 1e-9) - k))).otherwise(least)
+    lone = F.least("n", F.lit(k)) - F.count("*").over(own)
+    place = lone + F.row_number().over(own.orderBy("members", "v"))
+    lists = shared.withColumns({"place": place, "room": F.least("n", F.lit(k)) - overlap + 1}).where("place <= room")
+    lists = written(lists.withColumn("score", F.sum("members").over(own)).select("v", "id", "n", "score"), "lists")
     slim = classes.select("id", "sketch")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, na, nb) that pass the size bound and the union sketch"""
-        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    def likely(pairs: DataFrame, part: float, floor: int) -> DataFrame:
+        """The distinct pairs (a, b, na, nb) that pass the size bound and the union sketch."""
+        pairs = pairs.where(f"least(na, nb) >= {part} * greatest(na, nb) - 1e-9").select("a", "b").distinct()
         both = pairs.join(slim.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(slim.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
         union = f"slice(array_sort(array_union(x, y)), 1, {k})"
-        shared = f"size(array_intersect({union}, array_intersect(x, y)))"
-        return both.where(f"{shared} >= least({least}, ceil({t} * size({union})))").select("a", "b")
-
-    links = components = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        open_ = lists.withColumn("component_id", F.col("id")) if components is None else lists.join(components, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        if components is not None:
-            apart = open_.groupBy("key").agg((F.min("component_id") < F.max("component_id")).alias("apart")).where("apart").select("key")
-            open_ = written(open_.join(apart, "key"), "lists")
-            if open_.isEmpty():
-                break
-        if turn < CENTRE_ROUNDS:
-            score = F.col("score") if turn == 0 else F.xxhash64("id", "key", F.lit(turn))
-            rank = F.struct(score.alias("score"), (-F.col("id")).alias("low"), "n", F.col("component_id").alias("c"))
-            met = open_.join(open_.groupBy("key").agg(F.max(rank).alias("c")), "key").where("component_id <> c.c")
-            pairs = met.select(F.least("id", -F.col("c.low")).alias("a"), F.greatest("id", -F.col("c.low")).alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
-        else:
-            x, y = (open_.select("key", *(F.col(c).alias(c + s) for c in ("id", "n", "component_id"))) for s in "xy")
-            pairs = x.join(y, "key").where("idx < idy AND component_idx <> component_idy").select(F.col("idx").alias("a"), F.col("idy").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
-        candidates = written(likely(pairs), "candidates")
-        if candidates.isEmpty():
-            if turn == CENTRE_ROUNDS:
-                break
-            continue  # the next round takes other centres
-        found = written(_confirmed(docs, candidates, width, percent), "links")
-        if not found.isEmpty() or components is None:
-            links = found if links is None else links.unionByName(found)
-            components = written(connected_components(links), "components")
-
-    named = classes.select("digest", "copies", "id") if components is None else classes.select("digest", "copies", "id").join(components, "id", "left")
-    named = named.withColumn("component_id", F.coalesce("component_id", "id")) if components is not None else named.withColumn("component_id", F.col("id"))
-    total = rows.count()
-    out = lookup(rows.select("doc_id", "n_shingles", F.coalesce("digest", F.lit(b"")).alias("digest")), named.select("digest", "copies", "component_id"), ["digest"], "copies", total)
+        return both.where(f"size(array_intersect({union}, array_intersect(x, y))) >= least({floor}, ceil({part} * size({union}) - 1e-9))").select("a", "b")
+
+    centre = lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"), "n")).alias("c"))
+    met = written(lists.join(centre.select("v", (-F.col("c.low")).alias("c"), F.col("c.n").alias("nc")), "v"), "met")
+    first = likely(met.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
+    near = written(_compared(docs, written(first, "candidates"), width).where("outside IS NOT NULL"), "near")
+    near = near.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
+    links = near.where("linked").select("a", "b")
+    components = written(connected_components(links), "components")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y, nx, ny) in different components that may pass the size bound, smaller id first."""
+        pairs = pairs.where(f"x <> y AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(components.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
+        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "na", "nb")
+
+    known = near.select(F.col("a").alias("c"), F.col("b").alias("id"), F.lit(True).alias("close"))
+    far = met.where("id <> c").join(known, ["c", "id"], "left").where("close IS NULL").select("v", F.col("id").alias("x"), F.col("n").alias("nx"))
+    by_list = far.join(met.where("id <> c").select("v", F.col("id").alias("y"), F.col("n").alias("ny")), "v").select("x", "y", "nx", "ny")
+    mine = near.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), "linked", F.explode("outside").alias("w"))
+    loose = mine.where("NOT linked").select("a", "w", F.col("y").alias("x"), F.col("ny").alias("nx"))
+    by_shingle = loose.join(mine, ["a", "w"]).select("x", "y", "nx", "ny")
+    gaps = near.where("NOT linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.expr(f"na + nb - shared - 100 * shared / {percent}").alias("gap"))
+    small = near.where("na > nb").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("na") - F.col("nb")).alias("lack"))
+    reach = small.groupBy("a").agg(F.max("lack").alias("most"))
+    by_gap = gaps.join(reach, "a").where("gap <= most").join(small, "a").where("lack >= gap").select("x", "y", "nx", "ny")
+    more = written(likely(apart(by_list).unionByName(apart(by_shingle)).unionByName(apart(by_gap)), t, least), "candidates")
+    if not more.isEmpty():
+        found = _compared(docs, more, width).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+        components = written(connected_components(links.unionByName(written(found, "links"))), "components")
+
+    named = classes.select("digest", "copies", "id").join(components, "id", "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id"))
+    out = lookup(rows.select("doc_id", "n_shingles", F.coalesce("digest", F.lit(b"")).alias("digest")), named, ["digest"], "copies", rows.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

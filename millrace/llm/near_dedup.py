@@ -17,7 +17,9 @@ from .textvec import shingle_set, word_hashes
 
 #: Smallest hash values that a sketch keeps.
 SKETCH = 32
-#: Similarity from which a member of a list is near to its centre.
+#: Most ids that are broadcast to pick documents by; 16 bytes each.
+SENT_IDS = 1 << 22
+#: Similarity from which a document is near to its home.
 NEAR = 0.5
 
 
@@ -50,7 +52,10 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(words, width).tobytes() for words in word_hashes(_texts(b))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    named = written(ids.select(F.col("id").alias("doc_id")), "ids")
+    if named.count() <= SENT_IDS:  # else the texts are shuffled
+        named = F.broadcast(named)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(named, "doc_id", "left_semi")
     # of rows that share a doc_id one set is taken
     return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
@@ -85,10 +90,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     they share one of their rarest values even without the `least` - 1 most frequent: only those get inverted lists, and
     passages of many documents get none.
 
-    The members of a list first meet its centre, the member with the most company, and no one else.  Then only these pairs
-    can still link two components: those with a member far from the centre; those near it that share a shingle which the
-    centre lacks; and those near it of which one is so much smaller than the centre that shared gaps alone can do.
-    So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
+    A document first meets its home, the centre with the most company among its lists, and no one else.  Those near to one
+    home are a circle.  Then only these pairs can still link two components: those in one list but in different circles;
+    those of a circle that share a shingle which the home lacks; and those of a circle of which one is so much
+    smaller than the home that shared gaps alone can do.  So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
 
     Empty and null texts have n_shingles 0 and link with nothing.  A null doc_id has a null component and is kept; rows
     that share a doc_id count as one document.
@@ -119,9 +124,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         union = f"slice(array_sort(array_union(x, y)), 1, {k})"
         return both.where(f"size(array_intersect({union}, array_intersect(x, y))) >= least({floor}, ceil({part} * size({union}) - 1e-9))").select("a", "b")
 
+    # the centre of a list is its member of the highest score; a document's home, the best centre of its lists
     centre = lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"), "n")).alias("c"))
-    met = written(lists.join(centre.select("v", (-F.col("c.low")).alias("c"), F.col("c.n").alias("nc")), "v"), "met")
-    first = likely(met.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
+    home = lists.join(centre, "v").groupBy("id", "n").agg(F.max("c").alias("c")).select("id", "n", (-F.col("c.low")).alias("home"), F.col("c.n").alias("nh"))
+    home = written(home, "homes")
+    first = likely(home.where("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b"), F.col("nh").alias("na"), F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
     near = written(_compared(docs, written(first, "candidates"), width).where("outside IS NOT NULL"), "near")
     near = near.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
     links = near.where("linked").select("a", "b")
@@ -135,9 +142,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
             pairs = pairs.join(components.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
         return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "na", "nb")
 
-    known = near.select(F.col("a").alias("c"), F.col("b").alias("id"), F.lit(True).alias("close"))
-    far = met.where("id <> c").join(known, ["c", "id"], "left").where("close IS NULL").select("v", F.col("id").alias("x"), F.col("n").alias("nx"))
-    by_list = far.join(met.where("id <> c").select("v", F.col("id").alias("y"), F.col("n").alias("ny")), "v").select("x", "y", "nx", "ny")
+    # a circle: the documents near to one home, or one document alone
+    circle = home.join(near.select(F.col("b").alias("id"), F.col("a").alias("close")), "id", "left").select("id", F.coalesce("close", "id").alias("circle"))
+    placed = written(lists.select("v", "id", "n").join(circle, "id"), "circles")
+    most = placed.groupBy("v", "circle").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "circle")).alias("m"), F.count("*").alias("circles")).where("circles > 1")
+    odd = placed.join(most.select("v", F.col("m.circle").alias("main")), "v").where("circle <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("circle").alias("gx"))
+    by_list = odd.join(placed.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("circle").alias("gy")), "v").where("gx <> gy").select("x", "y", "nx", "ny")
     mine = near.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), "linked", F.explode("outside").alias("w"))
     loose = mine.where("NOT linked").select("a", "w", F.col("y").alias("x"), F.col("ny").alias("nx"))
     by_shingle = loose.join(mine, ["a", "w"]).select("x", "y", "nx", "ny")

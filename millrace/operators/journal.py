@@ -26,6 +26,7 @@ def fold(entries: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """
     tomb = lambda acc, loc: F.exists(acc["dead"], lambda d: d["segment"] == loc["segment"])
     cell = lambda x, kind: x.cast(kind)
+    place = lambda x: F.when(x.isNotNull(), F.struct(*(x[f].cast("bigint").alias(f) for f in ("segment", "offset", "length", "generation"))))
     null = F.lit(None)
 
     def make(state, location, attempts, due, remaining, error, dead) -> Column:
@@ -52,11 +53,11 @@ def fold(entries: DataFrame, initial: DataFrame | None = None) -> DataFrame:
             .otherwise(acc)
         )
 
-    e = F.struct("journal", "offset", "kind", F.col("location").cast(LOCATION).alias("location"), "attempts", "next_attempt_ms", "remaining", "last_error", F.col("new_location").cast(LOCATION).alias("new_location"))
+    e = F.struct("journal", "offset", "kind", place(F.col("location")).alias("location"), "attempts", "next_attempt_ms", "remaining", "last_error", place(F.col("new_location")).alias("new_location"))
     grouped = entries.groupBy("shard", "id").agg(F.array_sort(F.collect_list(e)).alias("entries"))
     fresh = make(null, null, null, null, null, null, F.array())
     if initial is not None:
-        start = initial.select("shard", "id", make(F.col("state"), F.col("location"), F.col("attempts"), F.col("next_attempt_ms"), F.col("remaining"), F.col("last_error"), F.array()).alias("start"))
+        start = initial.select("shard", "id", make(F.col("state"), place(F.col("location")), F.col("attempts"), F.col("next_attempt_ms"), F.col("remaining"), F.col("last_error"), F.array()).alias("start"))
         grouped = grouped.join(start, ["shard", "id"], "full")
         begin = F.coalesce("start", fresh)
     else:

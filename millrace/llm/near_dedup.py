@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     they share one of their rarest values even without the `least` - 1 most frequent: only those get inverted lists, and
     passages of many documents get none.
 
-    A document first meets its home, the centre with the most company among its lists, and no one else.  Those near to one
+    A document first meets its home, the centre with the most company among its lists, and that one's home, no one else.  Those near to one
     home are a circle.  Then only these pairs can still link two components: those in one list but in different circles;
     those of a circle that share a shingle which the home lacks; and those of a circle of which one is so much
     smaller than the home that shared gaps alone can do.  So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
@@ -128,7 +128,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     centre = lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"), "n")).alias("c"))
     home = lists.join(centre, "v").groupBy("id", "n").agg(F.max("c").alias("c")).select("id", "n", (-F.col("c.low")).alias("home"), F.col("c.n").alias("nh"))
     home = written(home, "homes")
-    first = likely(home.where("id <> home").select(F.col("home").alias("a"), F.col("id").alias("b"), F.col("nh").alias("na"), F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
+    # a home may have a better one itself: two tries a document, the better first
+    above = home.select(F.col("id").alias("home"), F.col("home").alias("top"), F.col("nh").alias("nt"))
+    tries = home.where("id <> home").join(above, "home", "left").withColumn("try", F.explode(F.expr("array_distinct(array(struct(coalesce(top, home) AS a, coalesce(nt, nh) AS na), struct(home AS a, nh AS na)))")))
+    first = likely(tries.where("try.a <> id").select("try.a", F.col("id").alias("b"), "try.na", F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
     near = written(_compared(docs, written(first, "candidates"), width).where("outside IS NOT NULL"), "near")
     near = near.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
     links = near.where("linked").select("a", "b")
@@ -143,11 +146,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "na", "nb")
 
     # a circle: the documents near to one home, or one document alone
-    circle = home.join(near.select(F.col("b").alias("id"), F.col("a").alias("close")), "id", "left").select("id", F.coalesce("close", "id").alias("circle"))
-    placed = written(lists.select("v", "id", "n").join(circle, "id"), "circles")
+    best = near.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("close"))  # one or two
+    circle = home.join(above, "home", "left").join(best, "id", "left").select("id", F.expr("CASE WHEN array_contains(close, top) THEN top WHEN array_contains(close, home) THEN home ELSE id END").alias("circle"))
+    placed = written(lists.select("v", "id", "n").join(circle, "id").join(slim, "id"), "circles")
     most = placed.groupBy("v", "circle").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "circle")).alias("m"), F.count("*").alias("circles")).where("circles > 1")
-    odd = placed.join(most.select("v", F.col("m.circle").alias("main")), "v").where("circle <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("circle").alias("gx"))
-    by_list = odd.join(placed.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("circle").alias("gy")), "v").where("gx <> gy").select("x", "y", "nx", "ny")
+    odd = placed.join(most.select("v", F.col("m.circle").alias("main")), "v").where("circle <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("circle").alias("gx"), F.col("sketch").alias("sx"))
+    other = placed.select(F.col("v").alias("v2"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("circle").alias("gy"), F.col("sketch").alias("sy"))
+    # the sketches travel with the lists, so that pairs which fail them never leave the join
+    union = f"slice(array_sort(array_union(sx, sy)), 1, {k})"
+    alike = F.expr(f"v = v2 AND gx <> gy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND size(array_intersect({union}, array_intersect(sx, sy))) >= least({least}, ceil({t} * size({union}) - 1e-9))")
+    by_list = odd.join(other, alike).select("x", "y", "nx", "ny")
     mine = near.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), "linked", F.explode("outside").alias("w"))
     loose = mine.where("NOT linked").select("a", "w", F.col("y").alias("x"), F.col("ny").alias("nx"))
     by_shingle = loose.join(mine, ["a", "w"]).select("x", "y", "nx", "ny")

@@ -21,6 +21,8 @@ SKETCH = 32
 SENT_IDS = 1 << 22
 #: Similarity from which a document is near to its home.
 NEAR = 0.5
+#: Members of a circle that its documents try besides the home; later steps compare whatever they leave apart.
+SEATS = 8
 
 
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -81,6 +83,18 @@ def _compared(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, shared long, outside array<long>")
 
 
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    return _compared(docs, pairs, width).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+
+
+def _alike(x: str, y: str, k: int, part: float, floor: int) -> str:
+    """The test of two sketches by their union sketch; what they share at all is counted first, as that is cheap."""
+    union = f"slice(sort_array(array_union({x}, {y})), 1, {k})"
+    common = f"size(array_intersect({x}, {y})) >= least({floor}, ceil({part} * greatest(size({x}), size({y})) - 1e-9))"
+    return f"{common} AND size(array_intersect({union}, array_intersect({x}, {y}))) >= least({floor}, ceil({part} * size({union}) - 1e-9))"
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
@@ -91,7 +105,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     passages of many documents get none.
 
     A document first meets its home, the centre with the most company among its lists, and that one's home, no one else.  Those near to one
-    home are a circle.  Then only these pairs can still link two components: those in one list but in different circles;
+    home are a circle; who is not linked to its home tries the circle's seats.  Then only these pairs can still link two components: those in one list but in different circles;
     those of a circle that share a shingle which the home lacks; and those of a circle of which one is so much
     smaller than the home that shared gaps alone can do.  So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
 
@@ -121,8 +135,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         """The distinct pairs (a, b, na, nb) that pass the size bound and the union sketch."""
         pairs = pairs.where(f"least(na, nb) >= {part} * greatest(na, nb) - 1e-9").select("a", "b").distinct()
         both = pairs.join(slim.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(slim.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        union = f"slice(array_sort(array_union(x, y)), 1, {k})"
-        return both.where(f"size(array_intersect({union}, array_intersect(x, y))) >= least({floor}, ceil({part} * size({union}) - 1e-9))").select("a", "b")
+        return both.where(_alike("x", "y", k, part, floor)).select("a", "b")
 
     # the centre of a list is its member of the highest score; a document's home, the best centre of its lists
     centre = lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"), "n")).alias("c"))
@@ -135,37 +148,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     near = written(_compared(docs, written(first, "candidates"), width).where("outside IS NOT NULL"), "near")
     near = near.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
     links = near.where("linked").select("a", "b")
+    # who is not linked to the home tries a few seats of its circle, the closest to the home of every part
+    part = F.pmod(F.xxhash64("b"), F.lit(SEATS))
+    seats = near.groupBy("a", part.alias("part")).agg(F.max(F.struct("linked", "shared", (-F.col("b")).alias("low"), "nb")).alias("s")).select("a", (-F.col("s.low")).alias("seat"), F.col("s.nb").alias("ns"))
+    seated = near.where("NOT linked").join(seats, "a").where("b <> seat")
+    second = likely(seated.select(F.col("seat").alias("a"), "b", F.col("ns").alias("na"), "nb"), t, least)
+    links = written(links.unionByName(_linked(docs, written(second, "candidates"), width, percent)), "links")
     components = written(connected_components(links), "components")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y, nx, ny) in different components that may pass the size bound, smaller id first."""
-        pairs = pairs.where(f"x <> y AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-        for end in ("a", "b"):
-            pairs = pairs.join(components.select(F.col("id").alias(end), F.col("component_id").alias(f"c{end}")), end, "left")
-        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "na", "nb")
+    def placed(pairs: DataFrame, end: str) -> DataFrame:
+        """Adds the component of the document `end`, its own id where it has no link."""
+        found = components.select(F.col("id").alias(end), F.col("component_id").alias("c"))
+        return pairs.join(found, end, "left").withColumn("c", F.coalesce("c", end))
+
+    def split(rows: DataFrame, keys: list[str], part: str) -> tuple[DataFrame, DataFrame]:
+        """Per key, the rows outside of its largest part as (keys, x, nx, cx, gx), and all rows as (keys, y, ny, cy, gy), if it has two parts."""
+        most = rows.groupBy(*keys, part).agg(F.count("*").alias("m")).groupBy(*keys).agg(F.max(F.struct("m", part)).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        odd = rows.join(most.select(*keys, F.col(f"m.{part}").alias("main")), keys).where(f"{part} <> main").drop("main")
+        return odd.withColumnsRenamed({"id": "x", "n": "nx", "c": "cx", "circle": "gx", "sketch": "sx"}), rows.withColumnsRenamed({"id": "y", "n": "ny", "c": "cy", "circle": "gy", "sketch": "sy"} | {key: f"{key}2" for key in keys})
 
     # a circle: the documents near to one home, or one document alone
     best = near.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("close"))  # one or two
     circle = home.join(above, "home", "left").join(best, "id", "left").select("id", F.expr("CASE WHEN array_contains(close, top) THEN top WHEN array_contains(close, home) THEN home ELSE id END").alias("circle"))
-    placed = written(lists.select("v", "id", "n").join(circle, "id").join(slim, "id"), "circles")
-    most = placed.groupBy("v", "circle").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "circle")).alias("m"), F.count("*").alias("circles")).where("circles > 1")
-    odd = placed.join(most.select("v", F.col("m.circle").alias("main")), "v").where("circle <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("circle").alias("gx"), F.col("sketch").alias("sx"))
-    other = placed.select(F.col("v").alias("v2"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("circle").alias("gy"), F.col("sketch").alias("sy"))
+    in_circle = written(placed(lists.select("v", "id", "n").join(circle, "id").join(slim, "id"), "id"), "circles")
     # the sketches travel with the lists, so that pairs which fail them never leave the join
-    union = f"slice(array_sort(array_union(sx, sy)), 1, {k})"
-    alike = F.expr(f"v = v2 AND gx <> gy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny) AND size(array_intersect({union}, array_intersect(sx, sy))) >= least({least}, ceil({t} * size({union}) - 1e-9))")
-    by_list = odd.join(other, alike).select("x", "y", "nx", "ny")
-    mine = near.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), "linked", F.explode("outside").alias("w"))
-    loose = mine.where("NOT linked").select("a", "w", F.col("y").alias("x"), F.col("ny").alias("nx"))
-    by_shingle = loose.join(mine, ["a", "w"]).select("x", "y", "nx", "ny")
-    gaps = near.where("NOT linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.expr(f"na + nb - shared - 100 * shared / {percent}").alias("gap"))
-    small = near.where("na > nb").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("na") - F.col("nb")).alias("lack"))
+    size = f"cx <> cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    odd, other = split(in_circle, ["v"], "circle")
+    by_list = odd.join(other, F.expr(f"v = v2 AND gx <> gy AND {size} AND {_alike('sx', 'sy', k, t, least)}")).select("x", "y", "nx", "ny")
+    mine = written(placed(near.select("a", F.col("b").alias("id"), F.col("nb").alias("n"), F.explode("outside").alias("w")), "id"), "outside")
+    odd, other = split(mine, ["a", "w"], "c")
+    by_shingle = odd.join(other, F.expr(f"a = a2 AND w = w2 AND {size}")).select("x", "y", "nx", "ny")
+    gaps = placed(near.where("NOT linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.expr(f"na + nb - shared - 100 * shared / {percent}").alias("gap")), "x").withColumnRenamed("c", "cx")
+    small = placed(near.where("na > nb").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("na") - F.col("nb")).alias("lack")), "y").withColumnRenamed("c", "cy")
     reach = small.groupBy("a").agg(F.max("lack").alias("most"))
-    by_gap = gaps.join(reach, "a").where("gap <= most").join(small, "a").where("lack >= gap").select("x", "y", "nx", "ny")
-    more = written(likely(apart(by_list).unionByName(apart(by_shingle)).unionByName(apart(by_gap)), t, least), "candidates")
+    by_gap = gaps.join(reach, "a").where("gap <= most").join(small.withColumnRenamed("a", "a2"), F.expr(f"a = a2 AND lack >= gap AND {size}")).select("x", "y", "nx", "ny")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        """The pairs as (a, b, na, nb), smaller id first."""
+        swap = F.col("x") > F.col("y")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"))
+
+    more = written(likely(ordered(by_list.unionByName(by_shingle).unionByName(by_gap)), t, least), "candidates")
     if not more.isEmpty():
-        found = _compared(docs, more, width).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+        found = _linked(docs, more, width, percent)
         components = written(connected_components(links.unionByName(written(found, "links"))), "components")
 
     named = classes.select("digest", "copies", "id").join(components, "id", "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,17 @@ def stitch(chunks: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]], en
     return np.concatenate(out).tolist()
 
 
+def _packed(numbers: np.ndarray, rising: bool) -> bytes:
+    """Small bytes for the shuffle; rising numbers as their steps."""
+    steps = np.diff(numbers, prepend=0) if rising else numbers
+    return zlib.compress(steps.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes, rising: bool) -> np.ndarray:
+    numbers = np.frombuffer(zlib.decompress(raw), "<i4").astype(np.int64)
+    return np.cumsum(numbers) if rising else numbers
+
+
 def encode_digests(docs: DataFrame, ranks_path: str, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text; null counts as empty.
 
@@ -115,7 +127,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, chunk: int = 16_384, overla
         encoder = Encoder(ranks_path)
         for b in batches:
             found = [encoder.chunk(t) for t in b.column("text").to_pylist()]
-            packed = [pa.array([x[i].astype("<i4").tobytes() for x in found], pa.binary()) for i in range(3)]
+            packed = [pa.array([_packed(x[i], i < 2) for x in found], pa.binary()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*b.columns, *packed], names=["row", "doc_id", "start", "text", "ends", "upto", "ids"])
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,7 +135,7 @@ def encode_digests(docs: DataFrame, ranks_path: str, chunk: int = 16_384, overla
         if globals().get("_encoder") is None:
             _encoder = Encoder(ranks_path)
         group = group.sort_values("start")
-        unpacked = [[np.frombuffer(x, "<i4").astype(np.int64) for x in group[c]] for c in ("ends", "upto", "ids")]
+        unpacked = [[_unpacked(x, c != "ids") for x in group[c]] for c in ("ends", "upto", "ids")]
         ids = stitch(list(zip(group["start"].tolist(), group["text"].tolist(), *unpacked)), _encoder)
         doc_id = group["doc_id"].iloc[0]
         return pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), **{c: [v] for c, v in zip(("n_tokens", "ids_sha256", "decoded_sha256"), _encoder.digests(ids))}})

@@ -170,12 +170,13 @@ class BoostedTrees:
         return out
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: knots (mean score, mean label) of the increasing step function, one prior row at each end."""
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pooled adjacent violators: knots (mean score, mean label) of the increasing step function, the means by weight."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order]):
-        blocks.append([s, v, 1.0])
+    for s, v, w in zip(score[order], y[order], weight[order]):
+        blocks.append([s * w, v * w, w])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             a = blocks.pop()
             blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2] + a[2]]
@@ -199,14 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model | Non
 
     About sample / 2 rows of each label are drawn by a hash of doc_id.  Half of them give the lexicon: keys at least
     eight times as frequent in toxic texts, in at least three of them.  A third gives the trees, the rest the calibration,
-    weighted back to the labels' true shares.
+    whose rows weigh the inverse of their label's rate of sampling: a score is a probability at the labels' true shares.
     """
     labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = F.when(F.col("toxic") == 1, F.lit(sample / 2 / sizes[1])).otherwise(F.lit(sample / 2 / sizes[0]))
+    rates = {t: min(1.0, sample / 2 / n) for t, n in sizes.items()}
+    rate = F.when(F.col("toxic") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(12))
     drawn = docs.select("doc_id", "text").join(labels.where(chance < rate), "doc_id").select("doc_id", "text", "toxic", fold.alias("fold"))
 
@@ -240,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model | Non
     if not len(y):
         return None
     trees = BoostedTrees().fit(x[fit], y[fit])
-    return Model(lexicon, trees, isotonic(trees.margin(x[cal]), y[cal]))
+    trees.base += float(np.log(rates[0] / rates[1]))  # from the sample's share of toxic rows to the true one
+    return Model(lexicon, trees, isotonic(trees.margin(x[cal]), y[cal], 1 / np.where(y[cal] == 1, rates[1], rates[0])))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:

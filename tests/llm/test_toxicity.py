@@ -50,3 +50,30 @@ def test_trees_learn_an_interaction():
     margin = BoostedTrees().fit(x, y).margin(rng.random((0, 4)).reshape(0, 4))
     assert margin.shape == (0,)
     assert ((BoostedTrees().fit(x, y).margin(x) > 0) == y).mean() > 0.97
+
+
+def test_isotonic_counts_rows_by_weight():
+    x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.array([19.0, 1, 19, 1]))
+    assert np.allclose(x, [1, 2.95, 4]) and np.allclose(y, [0, 0.05, 1])
+
+
+def test_scores_do_not_depend_on_the_sample(spark):
+    rnd = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(12000):  # 5 % toxic; of the documents with an insult, 30 %
+        toxic = i % 20 == 0
+        text = [rnd.choice(words) for _ in range(12)]
+        if rnd.random() < (0.8 if toxic else 0.1):
+            text.insert(rnd.randrange(12), "idiot")
+        rows.append((i, " ".join(text)))
+        labels.append((i, 0, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.createDataFrame(labels, LABELS)
+    insulting = {i for i, text in rows if "idiot" in text}
+    means = []
+    for sample in (10**6, 2400):
+        got = {r.doc_id: r.score for r in score(docs, train(docs, marks, sample)).collect()}
+        means.append((np.mean(list(got.values())), np.mean([got[i] for i in insulting])))
+    (whole, whole_bad), (drawn, drawn_bad) = means
+    assert abs(whole - 0.05) < 0.015 and abs(drawn - whole) < 0.03
+    assert abs(whole_bad - 0.3) < 0.08 and abs(drawn_bad - whole_bad) < 0.15

@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 
 from millrace.llm.common import crc_mod, table
-from millrace.llm.lm import END, Gru, Head, Table, score
+from millrace.llm.lm import END, Gru, Head, Table, fit, score
+from millrace.llm.textvec import word_hashes
 
 from .fixtures import documents, no_documents
 
@@ -112,3 +113,12 @@ def test_table_of_colliding_keys():
     assert (t.find(keys) == np.arange(len(keys))).all()
     assert (t.find(keys + np.uint64(1 << 63)) == -1).all()
     assert (Table(keys[:0], keys[:0].astype(np.int64)).find(keys) == -1).all()
+
+
+def test_every_training_document_reaches_the_weights(spark):
+    for doc_id in range(5):
+        text = f"one two three four{doc_id} one two"
+        keys, counts = np.unique(next(iter(word_hashes([text.encode()]))), return_counts=True)
+        head = Head(np.append(keys, END).view(np.int64), np.append(counts, 1), int(counts.sum()) + 1, len(keys) + 1)
+        model = fit(spark.createDataFrame([(doc_id, text)], "doc_id long, text string"), head)
+        assert np.abs(model.p["wc"]).max() > 0

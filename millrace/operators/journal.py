@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Kinds of journal entries.
 DEFERRED, DELIVERED, BOUNCED, RELOCATED = 1, 2, 3, 4
 
 LOCATION = "struct<segment:bigint,offset:bigint,length:bigint,generation:bigint>"
-_STATE = f"struct<state:string,location:{LOCATION},attempts:bigint,next_attempt_ms:bigint,remaining:array<string>,last_error:string,dead:array<{LOCATION}>>"
+_STATE = f"state string, location {LOCATION}, attempts bigint, next_attempt_ms bigint, remaining array<string>, last_error string, dead array<{LOCATION}>"
 
 
 def fold(entries: DataFrame, initial: DataFrame | None = None) -> DataFrame:
@@ -22,48 +27,44 @@ def fold(entries: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
     A deferral revives an ended message.  An end kills the copy.  A relocation moves a live message to a newer generation and
     kills the old copy, kills the new copy if it is not newer, kills both if either segment knows the message as ended, and else
-    only the old one.  The histories of one id meet in one row; that is the unit of the journal's own order.
+    only the old one.  The entries of one id stream through one task in their order; what is held is its state and its dead copies.
     """
-    tomb = lambda acc, loc: F.exists(acc["dead"], lambda d: d["segment"] == loc["segment"])
-    cell = lambda x, kind: x.cast(kind)
-    place = lambda x: F.when(x.isNotNull(), F.struct(*(x[f].cast("bigint").alias(f) for f in ("segment", "offset", "length", "generation"))))
-    null = F.lit(None)
-
-    def make(state, location, attempts, due, remaining, error, dead) -> Column:
-        return F.struct(cell(state, "string").alias("state"), cell(location, LOCATION).alias("location"), cell(attempts, "bigint").alias("attempts"), cell(due, "bigint").alias("next_attempt_ms"), cell(remaining, "array<string>").alias("remaining"), cell(error, "string").alias("last_error"), dead.cast(f"array<{LOCATION}>").alias("dead"))
-
-    def gone(acc, *copies) -> Column:
-        return F.concat(acc["dead"], F.array(*(c.cast(LOCATION) for c in copies)))
-
-    def step(acc: Column, e: Column) -> Column:
-        live = acc["state"].isNotNull()
-        keep = lambda loc, dead: make(acc["state"], loc, acc["attempts"], acc["next_attempt_ms"], acc["remaining"], acc["last_error"], dead)
-        ended = make(null, null, null, null, null, null, gone(acc, e["location"]))
-        newer = e["new_location"]["generation"] > acc["location"]["generation"]
-        moved = (
-            F.when(live & newer, keep(e["new_location"], gone(acc, e["location"])))
-            .when(live, keep(acc["location"], gone(acc, e["new_location"])))
-            .when(tomb(acc, e["location"]) | tomb(acc, e["new_location"]), keep(null, gone(acc, e["location"], e["new_location"])))
-            .otherwise(keep(null, gone(acc, e["location"])))
-        )
-        return (
-            F.when(e["kind"] == DEFERRED, make(F.lit("deferred"), e["location"], e["attempts"], e["next_attempt_ms"], e["remaining"], e["last_error"], acc["dead"]))
-            .when(e["kind"].isin(DELIVERED, BOUNCED), ended)
-            .when(e["kind"] == RELOCATED, moved)
-            .otherwise(acc)
-        )
-
-    e = F.struct("journal", "offset", "kind", place(F.col("location")).alias("location"), "attempts", "next_attempt_ms", "remaining", "last_error", place(F.col("new_location")).alias("new_location"))
-    grouped = entries.groupBy("shard", "id").agg(F.array_sort(F.collect_list(e)).alias("entries"))
-    fresh = make(null, null, null, null, null, null, F.array())
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(*(F.col(c)[f].cast("bigint").alias(f) for f in ("segment", "offset", "length", "generation")))).cast(LOCATION).alias(c)
+    number = [F.col(c).cast("bigint").alias(c) for c in ("attempts", "next_attempt_ms")]
+    rest = [F.col("remaining").cast("array<string>").alias("remaining"), F.col("last_error").cast("string").alias("last_error")]
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    rows = entries.select("shard", "id", F.lit(1).alias("_new"), "journal", "offset", "kind", place("location"), *number, *rest, place("new_location"), none("state", "string"))
     if initial is not None:
-        start = initial.select("shard", "id", make(F.col("state"), place(F.col("location")), F.col("attempts"), F.col("next_attempt_ms"), F.col("remaining"), F.col("last_error"), F.array()).alias("start"))
-        grouped = grouped.join(start, ["shard", "id"], "full")
-        begin = F.coalesce("start", fresh)
-    else:
-        begin = fresh
-    done = grouped.select("shard", "id", F.aggregate(F.coalesce("entries", F.array().cast(grouped.schema["entries"].dataType)), begin.cast(_STATE), lambda acc, x: step(acc, x).cast(_STATE)).alias("s"))
-    return done.select("shard", "id", "s.*")
+        kinds = {c: entries.schema[c].dataType for c in ("journal", "offset", "kind")}
+        start = initial.select("shard", "id", F.lit(0).alias("_new"), *(none(c, t) for c, t in kinds.items()), place("location"), *number, *rest, none("new_location", LOCATION), F.col("state").cast("string").alias("state"))
+        rows = rows.unionByName(start)
+
+    def tomb(s: list, at: dict | None) -> bool:
+        return bool(at) and at["segment"] is not None and any(d and d["segment"] == at["segment"] for d in s[6])
+
+    def newer(at: dict | None, old: dict | None) -> bool:
+        return bool(at and old) and None not in (at["generation"], old["generation"]) and at["generation"] > old["generation"]
+
+    def step(s: list, e: list) -> None:
+        kind, location, attempts, due, remaining, error, moved, state = e
+        if kind == DEFERRED:
+            s[:6] = "deferred", location, attempts, due, remaining, error
+        elif kind in (DELIVERED, BOUNCED):
+            s[:6] = [None] * 6
+            s[6].append(location)
+        elif kind == RELOCATED and s[0] is not None:
+            if newer(moved, s[1]):
+                s[1] = moved
+                s[6].append(location)
+            else:
+                s[6].append(moved)
+        elif kind == RELOCATED:
+            s[1] = None
+            s[6] += [location, moved] if tomb(s, location) or tomb(s, moved) else [location]
+        elif state is not None:  # from the checkpoint: before all entries
+            s[:6] = state, location, attempts, due, remaining, error
+
+    return _replayed(rows, ["shard", "id"], 3, _STATE, lambda: [None] * 6 + [[]], step)
 
 
 def dead_by_segment(folded: DataFrame) -> DataFrame:
@@ -104,38 +105,73 @@ def saturating_depth(rows: DataFrame, keys: list[str], order: str, delta: str) -
     return rows.withColumn("_run", running).groupBy(*keys).agg((F.sum(delta) - F.least(F.lit(0), F.min("_run"))).cast("long").alias("depth"))
 
 
+def _replayed(rows: DataFrame, keys: list[str], order: int, result: str, start: Callable[[], list], step: Callable[[list, tuple], None]) -> DataFrame:
+    """The state of each key after step() on its rows in order; rows: keys, as many columns of the order, then what step() takes (ties go by it).
+
+    A key's rows come to one task, sorted by Spark, and stream through it: only the state of the current key is held.
+    """
+    n, skip = len(keys), len(keys) + order
+    fields = [rows.schema[k] for k in keys]
+    schema = StructType([*fields, *StructType.fromDDL(result).fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, []
+        for b in batches:
+            done = []
+            columns = [c.to_pylist() for c in b.columns]
+            for k, *e in zip(zip(*columns[:n]), *columns[skip:]):
+                if k != key:
+                    if key is not None:
+                        done.append((*key, *state))
+                    key, state = k, start()
+                step(state, e)
+            if done:
+                yield batch(done)
+        if key is not None:
+            yield batch([(*key, *state)])
+
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), types)], schema=types)
+
+    return rows.repartition(*keys).sortWithinPartitions(*rows.columns).mapInArrow(run, schema)
+
+
 def token_bucket(rows: DataFrame, keys: list[str], order: list[str], at_ms: str, limit: int) -> DataFrame:
     """Replay of a bucket per key: allowed, limited and the tokens left.
 
     It starts full with `limit` tokens.  After a second or more, trunc(limit / 60 * seconds) tokens come; only when that is one or more
     does the refill time move, to now.
     """
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(at_ms).cast("long").alias("_at"))))
-    start = F.struct(F.lit(limit).cast("long").alias("tokens"), F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("limited"))
 
-    def step(a: Column, e: Column) -> Column:
-        last = F.coalesce(a["last"], e["_at"])
-        spent = e["_at"] - last
-        come = F.when(spent >= 1000, F.floor(spent * limit / 60_000)).otherwise(0).cast("long")
-        tokens = F.least(F.lit(limit).cast("long"), a["tokens"] + come)
-        ok = tokens > 0
-        one = F.lit(1).cast("long")
-        return F.struct(F.when(ok, tokens - one).otherwise(tokens).alias("tokens"), F.when(come > 0, e["_at"]).otherwise(last).alias("last"), F.when(ok, a["allowed"] + one).otherwise(a["allowed"]).alias("allowed"), F.when(ok, a["limited"]).otherwise(a["limited"] + one).alias("limited"))
+    def step(a: list, e: list) -> None:
+        (at,) = e
+        last = at if a[3] is None else a[3]
+        come = (at - last) * limit // 60_000 if at is not None and at - last >= 1000 else 0
+        a[2], a[3] = min(limit, a[2] + come), at if come > 0 else last
+        ok = a[2] > 0
+        a[2] -= ok
+        a[0 if ok else 1] += 1
 
-    return rows.groupBy(*keys).agg(F.aggregate(seq, start, step).alias("b")).select(*keys, "b.allowed", "b.limited", "b.tokens")
+    seq = rows.select(*keys, *(F.col(c).alias(f"_order_{k}") for k, c in enumerate(order)), F.col(at_ms).cast("long").alias("_at"))
+    return _replayed(seq, keys, len(order), "allowed long, limited long, tokens long", lambda: [0, 0, limit, None], step)
 
 
 def pack_segments(rows: DataFrame, keys: list[str], order: str, size: str, target: int) -> DataFrame:
     """Segments of each key when a new one begins where a record would pass the target, unless the segment is empty."""
-    seq = F.array_sort(F.collect_list(F.struct(order, F.col(size).cast("long").alias("_size"))))
-    start = F.struct(F.lit(1).cast("long").alias("segments"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("largest"))
-
-    def step(a: Column, e: Column) -> Column:
-        full = (a["length"] > 0) & (a["length"] + e["_size"] > target)
-        length = F.when(full, e["_size"]).otherwise(a["length"] + e["_size"])
-        return F.struct(F.when(full, a["segments"] + 1).otherwise(a["segments"]).alias("segments"), length.alias("length"), F.greatest(a["largest"], length).alias("largest"))
 
-    return rows.groupBy(*keys).agg(F.aggregate(seq, start, step).alias("p")).select(*keys, "p.segments", F.col("p.length").alias("active_bytes"), F.col("p.largest").alias("largest_segment"))
+    def step(a: list, e: list) -> None:
+        (n,) = e
+        if a[1] is None or n is None:  # an unknown size makes the length unknown from there on
+            a[1] = None
+            return
+        full = a[1] > 0 and a[1] + n > target
+        a[0] += full
+        a[1] = n if full else a[1] + n
+        a[2] = max(a[2], a[1])
+
+    seq = rows.select(*keys, F.col(order).alias("_order"), F.col(size).cast("long").alias("_size"))
+    return _replayed(seq, keys, 1, "segments long, active_bytes long, largest_segment long", lambda: [1, 0, 0], step)
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:

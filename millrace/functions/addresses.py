@@ -12,7 +12,7 @@ _ADDRESS = rf"^{_ATOM}(?:\.{_ATOM})*@({_LABEL}(?:\.{_LABEL})*)$"
 
 def bare_address(x: Column) -> Column:
     """Trimmed; what stands between the last < and the last >, where both are there in that order."""
-    x = F.trim(x)
+    x = F.regexp_replace(x, r"^\s+|\s+$", "")
     return F.when(x.rlike(r"(?s)^.*<[^<>]*>[^<>]*$"), F.regexp_extract(x, r"(?s)<([^<>]*)>[^<>]*$", 1)).otherwise(x)
 
 
@@ -39,7 +39,7 @@ def routing_domain(x: Column) -> Column:
 
 def dns_name(x: Column) -> Column:
     """Trimmed, without trailing dots, lower case."""
-    return F.lower(F.regexp_replace(F.trim(x), r"\.+$", ""))
+    return F.lower(F.regexp_replace(x, r"^\s+|\.*\s*$", ""))
 
 
 def metric_domain(x: Column) -> Column:

@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, in local mode only, a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,10 +37,37 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).written(df, name)
+
+
+class Scratch:
+    """Tables of one job in the shared folder; clear() removes them once what is made of them is written elsewhere."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/millrace/{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def other_columns(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but those that a result column of one of these names replaces, in whatever case."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def own_name(*frames: DataFrame) -> str:
+    """A beginning for internal columns that no column of the frames has."""
+    name = "_m"
+    while any(c.lower().startswith(name) for f in frames for c in f.columns):
+        name = f"_{name}"
+    return name
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -52,20 +81,22 @@ def lookup(rows: DataFrame, classes: DataFrame, keys: list[str], weight: str, to
     Hot classes, fewer than HOT_PARTS by their weight, are broadcast; the rows that they serve are dealt over salts in
     the shuffled join, where they match nothing.
     """
+    own = own_name(rows, classes)
     payload = [c for c in classes.columns if c not in keys]
-    hot = classes.where(F.col(weight) * HOT_PARTS > total).select(*keys, *(F.col(c).alias(f"_hot_{c}") for c in payload), F.lit(True).alias("_hot"))
-    cold = classes.where(F.col(weight) * HOT_PARTS <= total).withColumn("_salt", F.lit(0))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0))
-    joined = salted.join(cold, [*keys, "_salt"], "left")
-    return joined.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload))
+    hot = classes.where(F.col(weight) * HOT_PARTS > total).select(*keys, *(F.col(c).alias(f"{own}hot_{c}") for c in payload), F.lit(True).alias(f"{own}hot"))
+    cold = classes.where(F.col(weight) * HOT_PARTS <= total).select(*keys, *(F.col(c).alias(f"{own}{c}") for c in payload), F.lit(0).alias(f"{own}salt"))
+    salt = F.when(F.col(f"{own}hot"), 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).otherwise(0)
+    joined = rows.join(F.broadcast(hot), keys, "left").withColumn(f"{own}salt", salt).join(cold, [*keys, f"{own}salt"], "left")
+    return joined.select(*rows.columns, *(F.when(F.col(f"{own}hot"), F.col(f"{own}hot_{c}")).otherwise(F.col(f"{own}{c}")).alias(c) for c in payload))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component_id) of every end a or b of an edge but the components' smallest ends, which have no row.
 
     Every node hooks to its smallest smaller neighbour, pointers are jumped to the roots and the edges are contracted,
     until none is left.  Nothing is gathered on the driver; each step is written to the shared folder.
     """
+    written = scratch.written
     left = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     labels = None
     while not left.isEmpty():

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lookup, written
+from .common import Scratch, connected_components, lookup, written
 
 #: Vectors in a tile, about; a pair of tiles takes some 4 * TILE^2 * 8 bytes.
 TILE = 768
@@ -176,7 +176,7 @@ def embedding_near_duplicates(rows: DataFrame, least: float = 0.98, tile: int =
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     linked = found.where("n IS NOT NULL").groupBy("id").agg(F.sum("n").alias("linked"))
     # several classes may have the smallest id of repeated rows; links are counted by id
-    components = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    components = connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")), Scratch(spark))
     named = classes.join(linked, "id", "left").join(components, "id", "left")
     named = named.select("label", "embedding", "weight", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     part = lookup(base.where("ok").select("vec_id", "label", "embedding"), named, ["label", "embedding"], "weight", base.count())

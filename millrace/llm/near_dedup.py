@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,87 +12,138 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, lookup, written
+from .common import Scratch, connected_components, lookup
 from .textvec import shingle_set, word_hashes
 
 #: Smallest hash values that a sketch keeps.
-SKETCH = 32
-#: Most ids that are broadcast to pick documents by; 16 bytes each.
-SENT_IDS = 1 << 22
-#: Similarity from which a document is near to its home.
-NEAR = 0.5
-#: Members of a circle that its documents try besides the home; later steps compare whatever they leave apart.
-SEATS = 8
+SKETCH = 64
+#: Chance that two sets exactly at the threshold share fewer sketch values than is counted on; it falls fast above the threshold.
+MISS = 1e-7
+#: Similarity from which a document is near to a home.
+NEAR = 0.4
+#: Most rows (three longs each) that are broadcast to pick documents by; beyond it texts are shuffled.
+SENT = 1 << 21
+#: Documents that are compared with one copy of their home's set.
+PART = 256
+
+
+@functools.cache
+def _least_table(k: int, percent: int, cut: int = 2048) -> np.ndarray:
+    """Per set size n (the last for all larger ones), the values that sketches of a linked pair share at least, but for MISS.
+
+    Of a union of u values, of which percent are shared, the union sketch draws min(k, u) without replacement: hypergeometric.
+    Drawn from more than cut values it is bounded by the binomial, which spreads more.  A set of n has unions from n to 100 n / percent.
+    """
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * cut + 2)))])
+    choose = lambda n, r: np.where((r < 0) | (r > n), -np.inf, logs[n] - logs[np.clip(r, 0, n)] - logs[np.clip(n - r, 0, None)])
+    x = np.arange(k + 1)
+    floors = np.zeros(cut + 1, np.int64)
+    for u in range(1, cut + 1):
+        both, draws = -(-percent * u // 100), min(k, u)
+        p = np.exp(choose(both, x) + choose(u - both, draws - x) - choose(u, np.array(draws)))
+        floors[u] = np.searchsorted(np.cumsum(p), MISS, side="right")
+    share = percent / 100
+    p = np.exp(choose(k, x) + x * np.log(share) + (k - x) * np.log1p(-share)) if share < 1 else (x == k) * 1.0
+    far = int(np.searchsorted(np.cumsum(p), MISS, side="right"))
+    least = [0] + [min(int(floors[n : 100 * n // percent + 1].min()), far if 100 * n // percent > cut else k) for n in range(1, cut)]
+    return np.maximum(np.array([*least, far]), np.array([0, *[1] * cut]))
+
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    return [(t or "").encode() for t in batch.column(name).to_pylist()]
 
+def sketches(docs: DataFrame, width: int, percent: int, k: int = SKETCH) -> DataFrame:
+    """doc_id, n_shingles, digest of the whole set (null if empty), its key, least and sketch, the k smallest of its hash values in order.
 
-def sketches(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set (null if empty) and sketch, the k smallest of its hash values in order."""
+    least is what the sketch shares at least with that of any set that the document links with.
+    """
+    table = _least_table(k, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digests, lows = [], [], []
+            n, digests, keys, lows = [], [], [], []
             for words in word_hashes(_texts(b)):
                 found = shingle_set(words, width)
                 n.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                digest = _digest(found)
+                digests.append(digest)
+                keys.append(_key(digest))
                 lows.append((found[:k] >> np.uint64(1)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
+            least = table[np.minimum(n, len(table) - 1)].astype(np.int32) if n else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(least), pa.array(lows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "key", "least", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, key long, least int, sketch array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """id and the sorted set of hash values of the documents named in ids."""
+def _digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(words, width).tobytes() for words in word_hashes(_texts(b))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    named = written(ids.select(F.col("id").alias("doc_id")), "ids")
-    if named.count() <= SENT_IDS:  # else the texts are shuffled
-        named = F.broadcast(named)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(named, "doc_id", "left_semi")
-    # of rows that share a doc_id one set is taken
-    return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+def _key(digest: bytes | None) -> int | None:
+    return int.from_bytes(digest[:8], "little", signed=True) if digest else None
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """a, b, na, nb, shared of the pairs (a, b) by their whole sets, and outside: what b has and a has not, if b is near to a."""
+def _compared(texts: DataFrame, pairs: DataFrame, width: int, scratch: Scratch, near: float | None = None) -> DataFrame:
+    """a, b, na, nb, shared of the distinct pairs (a, b), by their whole sets; delta: for pairs at least `near`, what only one of them has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts has doc_id, text and key (of the text that stands for its doc_id; null: any).  Each a meets its b's in parts of about PART: its
+    set comes first in the part's sorted rows and stays in memory while those of the b's stream by, so one set crosses the network for a pair.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, key, words in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), word_hashes(_texts(b))):
+                found = shingle_set(words, width)
+                if key is None or key == _key(_digest(found)):
+                    out.append((i, found.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["id", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_part, x, last = None, None, None
         for batch in batches:
             out: list[tuple] = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "set_a", "set_b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(x, y)
-                alike = x[np.minimum(at, len(x) - 1)] == y
+            for a, part, second, i, y in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "second", "id", "set"))):
+                y = np.frombuffer(y, np.uint64)
+                if at_part != (a, part):
+                    at_part, x, last = (a, part), y, None
+                if not second or i == last:  # of rows that repeat one counts
+                    continue
+                last = i
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                alike = x[at] == y
                 shared = int(alike.sum())
-                near = shared >= NEAR * (len(x) + len(y) - shared)
-                out.append((a, b, len(x), len(y), shared, y[~alike].view(np.int64) if near else None))
+                delta = None
+                if near is not None and shared >= near * (len(x) + len(y) - shared):
+                    lacks = np.ones(len(x), bool)
+                    lacks[at[alike]] = False
+                    delta = np.concatenate([x[lacks], y[~alike]]).view(np.int64)
+                out.append((a, i, len(x), len(y), shared, delta))
             kinds = [*[pa.int64()] * 5, pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["a", "b", "na", "nb", "shared", "outside"])
-
-    sets = written(_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, shared long, outside array<long>")
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    return _compared(docs, pairs, width).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
-
-
-def _alike(x: str, y: str, k: int, part: float, floor: int) -> str:
-    """The test of two sketches by their union sketch; what they share at all is counted first, as that is cheap."""
-    union = f"slice(sort_array(array_union({x}, {y})), 1, {k})"
-    common = f"size(array_intersect({x}, {y})) >= least({floor}, ceil({part} * greatest(size({x}), size({y})) - 1e-9))"
-    return f"{common} AND size(array_intersect({union}, array_intersect({x}, {y}))) >= least({floor}, ceil({part} * size({union}) - 1e-9))"
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], names=["a", "b", "na", "nb", "shared", "delta"])
+
+    total = pairs.count()
+    sizes = scratch.written(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).alias("parts")), "homes")
+    second = lookup(pairs.select("a", "b"), sizes, ["a"], "n", total).select(F.col("b").alias("id"), "a", F.expr("pmod(xxhash64(b), parts)").alias("part"), F.lit(True).alias("second"))
+    first = sizes.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("second"))
+    wanted = scratch.written(second.unionByName(first), "wanted")
+    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    if wanted.count() <= SENT:
+        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
+    found = texts.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary").join(wanted, "id")
+    dealt = found.repartition("a", "part").sortWithinPartitions("a", "part", "second", "id")
+    return dealt.select("a", "part", "second", "id", "set").mapInArrow(compare, "a long, b long, na long, nb long, shared long, delta array<long>")
+
+
+def _rare_first(entries: DataFrame, key: list[str], owner: list[str], scratch: Scratch) -> DataFrame:
+    """entries (owner, key and what else depends on owner) whose key occurs twice, with members, its number, mine, the owner's number of such, and place among them, rarest first."""
+    entries = scratch.written(entries, "entries")
+    common = scratch.written(entries.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1"), "common")
+    found = lookup(entries, common, key, "members", entries.count()).where("members IS NOT NULL")
+    own = Window.partitionBy(*owner)
+    return found.withColumns({"mine": F.count("*").over(own), "place": F.row_number().over(own.orderBy("members", *key)), "score": F.sum("members").over(own)})
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -100,100 +151,103 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles.  Equal sets are one
     class, of which the smallest doc_id stands for all.  A class's k smallest hash values are its sketch.  Two linked sketches
-    share at least `least` values (six deviations below the threshold; exactly known for sets smaller than k), so
-    they share one of their rarest values even without the `least` - 1 most frequent: only those get inverted lists, and
-    passages of many documents get none.
+    share at least `least` values (see _least_table), so they share one of their rarest values even without the `least` - 1 most
+    frequent: only those get inverted lists, and passages of many documents get none.
 
     A document first meets its home, the centre with the most company among its lists, and that one's home, no one else.  Those near to one
-    home are a circle; who is not linked to its home tries the circle's seats.  Then only these pairs can still link two components: those in one list but in different circles;
-    those of a circle that share a shingle which the home lacks; and those of a circle of which one is so much
-    smaller than the home that shared gaps alone can do.  So groups of copies do not make all their pairs.  A union sketch drops pairs, the exact sets decide on the others.
-
-    Empty and null texts have n_shingles 0 and link with nothing.  A null doc_id has a null component and is kept; rows
-    that share a doc_id count as one document.
+    home are a circle.  Only two kinds of pairs can still link two components:
+    - those in one list but in no common circle, by their union sketches;
+    - those of one circle.  With delta the symmetric difference to the home's set and n the size of a set, x and y link only if
+      |delta x & delta y| >= (|delta x| + |delta y| - s (nx + ny)) / 2, where s = (100 - percent) / (100 + percent).  As one of the two is not
+      linked to the home, that is over 0; so they share one of the rarest elements of their deltas, and again only those get lists.
+    So groups of copies do not make all their pairs.  The exact sets decide on all pairs found.
+
+    Empty and null texts have n_shingles 0 and link with nothing.  A null doc_id has a null component and is kept.  Rows
+    that share a doc_id count as one document: of their sets, the one with the smallest digest.  An empty table gives no rows.
     """
-    t = percent / 100
-    spread = 6 * math.sqrt(t * (1 - t) / k)
-    least = max(1, math.floor(k * max(t - spread, 0)))
-    rows = written(sketches(docs, width, k), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    written = scratch.written
+    rows = written(sketches(docs, width, percent, k), "sketches")
     live = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(live.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m"), F.count("*").alias("copies")).select("digest", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.sketch").alias("sketch")), "classes")
-
-    entries = classes.select("id", "n", F.explode("sketch").alias("v"))
-    common = entries.groupBy("v").agg(F.count("*").alias("members")).where("members > 1")
-    shared = entries.join(common, "v")
-    own = Window.partitionBy("id")
-    # a sketch that is the whole set misses at most what its partner's sketch has no room for
-    overlap = F.when(F.col("n") <= k, F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100 - 1e-9) - F.greatest(F.lit(0), F.floor(F.col("n") * 100 / percent + 1e-9) - k))).otherwise(least)
-    lone = F.least("n", F.lit(k)) - F.count("*").over(own)
-    place = lone + F.row_number().over(own.orderBy("members", "v"))
-    lists = shared.withColumns({"place": place, "room": F.least("n", F.lit(k)) - overlap + 1}).where("place <= room")
-    lists = written(lists.withColumn("score", F.sum("members").over(own)).select("v", "id", "n", "score"), "lists")
-    slim = classes.select("id", "sketch")
-
-    def likely(pairs: DataFrame, part: float, floor: int) -> DataFrame:
-        """The distinct pairs (a, b, na, nb) that pass the size bound and the union sketch."""
-        pairs = pairs.where(f"least(na, nb) >= {part} * greatest(na, nb) - 1e-9").select("a", "b").distinct()
-        both = pairs.join(slim.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(slim.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        return both.where(_alike("x", "y", k, part, floor)).select("a", "b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("key"))
+    twice = written(live.groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first <> last").drop("last"), "twice")
+    named_by = F.col("digest")
+    if not twice.isEmpty():
+        live = written(lookup(live, twice, ["doc_id"], "n", rows.count()).where("first IS NULL OR first = key").drop("n"), "live")
+        texts = lookup(texts.drop("key"), twice.withColumnRenamed("first", "key"), ["doc_id"], "n", rows.count()).drop("n")
+        chosen = live.where("first IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("chosen")).join(twice.drop("first"), "doc_id")
+        rows, named_by = lookup(rows, written(chosen, "chosen"), ["doc_id"], "n", rows.count()), F.coalesce("chosen", "digest")
+    one = live.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "least", "sketch")).alias("m"), F.count("*").alias("copies"))
+    classes = written(one.select("digest", "copies", F.col("m.doc_id").alias("id"), F.col("m.n_shingles").alias("n"), F.col("m.least").alias("least"), F.col("m.sketch").alias("sketch")), "classes")
+    slim = classes.select("id", "sketch", "least")
+
+    def likely(pairs: DataFrame, test: str) -> DataFrame:
+        """The distinct pairs (a, b) whose union sketch passes the test."""
+        both = pairs.select("a", "b").distinct().join(slim.toDF("a", "x", "la"), "a").join(slim.toDF("b", "y", "lb"), "b")
+        return written(both.where(test).select("a", "b"), "candidates")
+
+    union = f"slice(sort_array(array_union(x, y)), 1, {k})"
+    may_link = f"size(array_intersect(x, y)) >= greatest(la, lb) AND size(array_intersect({union}, array_intersect(x, y))) >= greatest(la, lb)"
+    may_be_near = f"size(array_intersect({union}, array_intersect(x, y))) >= {NEAR - 0.1} * size({union})"
+
+    kept = F.least("n", F.lit(k))
+    lists = _rare_first(classes.select("id", "n", "least", F.explode("sketch").alias("v")), ["v"], ["id"], scratch)
+    lists = lists.where(kept - F.col("mine") + F.col("place") <= kept - F.col("least") + 1)
+    lists = written(lists.select("v", "id", "n", "score"), "lists")
+    n_lists = lists.count()
 
     # the centre of a list is its member of the highest score; a document's home, the best centre of its lists
-    centre = lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"), "n")).alias("c"))
-    home = lists.join(centre, "v").groupBy("id", "n").agg(F.max("c").alias("c")).select("id", "n", (-F.col("c.low")).alias("home"), F.col("c.n").alias("nh"))
+    centre = written(lists.groupBy("v").agg(F.max(F.struct("score", (-F.col("id")).alias("low"))).alias("c"), F.count("*").alias("m")).where("m > 1"), "centres")
+    home = lookup(lists, centre, ["v"], "m", n_lists).where("c IS NOT NULL").groupBy("id").agg(F.max("c").alias("c")).select("id", (-F.col("c.low")).alias("home"))
     home = written(home, "homes")
-    # a home may have a better one itself: two tries a document, the better first
-    above = home.select(F.col("id").alias("home"), F.col("home").alias("top"), F.col("nh").alias("nt"))
-    tries = home.where("id <> home").join(above, "home", "left").withColumn("try", F.explode(F.expr("array_distinct(array(struct(coalesce(top, home) AS a, coalesce(nt, nh) AS na), struct(home AS a, nh AS na)))")))
-    first = likely(tries.where("try.a <> id").select("try.a", F.col("id").alias("b"), "try.na", F.col("n").alias("nb")), NEAR, max(1, math.floor(k * (NEAR - 0.1))))
-    near = written(_compared(docs, written(first, "candidates"), width).where("outside IS NOT NULL"), "near")
+    # a home may have a better one itself: two tries a document
+    above = home.select(F.col("id").alias("home"), F.col("home").alias("top"))
+    tries = home.join(above, "home", "left").select(F.explode(F.array_distinct(F.array(F.coalesce("top", "home"), "home"))).alias("a"), F.col("id").alias("b")).where("a <> b")
+    near = written(_compared(texts, likely(tries, may_be_near), width, scratch, NEAR).where("delta IS NOT NULL"), "near")
     near = near.withColumn("linked", F.expr(f"100 * shared >= {percent} * (na + nb - shared)"))
-    links = near.where("linked").select("a", "b")
-    # who is not linked to the home tries a few seats of its circle, the closest to the home of every part
-    part = F.pmod(F.xxhash64("b"), F.lit(SEATS))
-    seats = near.groupBy("a", part.alias("part")).agg(F.max(F.struct("linked", "shared", (-F.col("b")).alias("low"), "nb")).alias("s")).select("a", (-F.col("s.low")).alias("seat"), F.col("s.nb").alias("ns"))
-    seated = near.where("NOT linked").join(seats, "a").where("b <> seat")
-    second = likely(seated.select(F.col("seat").alias("a"), "b", F.col("ns").alias("na"), "nb"), t, least)
-    links = written(links.unionByName(_linked(docs, written(second, "candidates"), width, percent)), "links")
-    components = written(connected_components(links), "components")
-
-    def placed(pairs: DataFrame, end: str) -> DataFrame:
-        """Adds the component of the document `end`, its own id where it has no link."""
-        found = components.select(F.col("id").alias(end), F.col("component_id").alias("c"))
-        return pairs.join(found, end, "left").withColumn("c", F.coalesce("c", end))
-
-    def split(rows: DataFrame, keys: list[str], part: str) -> tuple[DataFrame, DataFrame]:
-        """Per key, the rows outside of its largest part as (keys, x, nx, cx, gx), and all rows as (keys, y, ny, cy, gy), if it has two parts."""
-        most = rows.groupBy(*keys, part).agg(F.count("*").alias("m")).groupBy(*keys).agg(F.max(F.struct("m", part)).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        odd = rows.join(most.select(*keys, F.col(f"m.{part}").alias("main")), keys).where(f"{part} <> main").drop("main")
-        return odd.withColumnsRenamed({"id": "x", "n": "nx", "c": "cx", "circle": "gx", "sketch": "sx"}), rows.withColumnsRenamed({"id": "y", "n": "ny", "c": "cy", "circle": "gy", "sketch": "sy"} | {key: f"{key}2" for key in keys})
-
-    # a circle: the documents near to one home, or one document alone
-    best = near.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("close"))  # one or two
-    circle = home.join(above, "home", "left").join(best, "id", "left").select("id", F.expr("CASE WHEN array_contains(close, top) THEN top WHEN array_contains(close, home) THEN home ELSE id END").alias("circle"))
-    in_circle = written(placed(lists.select("v", "id", "n").join(circle, "id").join(slim, "id"), "id"), "circles")
-    # the sketches travel with the lists, so that pairs which fail them never leave the join
-    size = f"cx <> cy AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    odd, other = split(in_circle, ["v"], "circle")
-    by_list = odd.join(other, F.expr(f"v = v2 AND gx <> gy AND {size} AND {_alike('sx', 'sy', k, t, least)}")).select("x", "y", "nx", "ny")
-    mine = written(placed(near.select("a", F.col("b").alias("id"), F.col("nb").alias("n"), F.explode("outside").alias("w")), "id"), "outside")
-    odd, other = split(mine, ["a", "w"], "c")
-    by_shingle = odd.join(other, F.expr(f"a = a2 AND w = w2 AND {size}")).select("x", "y", "nx", "ny")
-    gaps = placed(near.where("NOT linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.expr(f"na + nb - shared - 100 * shared / {percent}").alias("gap")), "x").withColumnRenamed("c", "cx")
-    small = placed(near.where("na > nb").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), (F.col("na") - F.col("nb")).alias("lack")), "y").withColumnRenamed("c", "cy")
-    reach = small.groupBy("a").agg(F.max("lack").alias("most"))
-    by_gap = gaps.join(reach, "a").where("gap <= most").join(small.withColumnRenamed("a", "a2"), F.expr(f"a = a2 AND lack >= gap AND {size}")).select("x", "y", "nx", "ny")
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        """The pairs as (a, b, na, nb), smaller id first."""
-        swap = F.col("x") > F.col("y")
-        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb"))
-
-    more = written(likely(ordered(by_list.unionByName(by_shingle).unionByName(by_gap)), t, least), "candidates")
+    links = written(near.where("linked").select("a", "b"), "links")
+    components = written(connected_components(links, scratch), "components")
+
+    def placed(df: DataFrame) -> DataFrame:
+        """Adds c, the component of id: its own id where it has no link."""
+        return df.join(components.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+    size = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
+    s = (100 - percent) / (100 + percent)
+
+    # pairs of one list; the circle with the most members of a list need not be paired within itself
+    close = near.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("close"))  # one or two
+    circle = F.coalesce(F.array_min("close"), F.col("id"))
+    member = written(placed(lists.select("v", "id", "n").join(close, "id", "left")).withColumn("circle", circle).withColumn("close", F.expr("array_append(coalesce(close, cast(array() AS array<bigint>)), id)")), "members")
+    most = member.groupBy("v", "circle").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "circle")).alias("m"), F.count("*").alias("parts"), F.sum("m").alias("all")).where("parts > 1")
+    most = written(most.select("v", F.col("m.circle").alias("main"), "all"), "main")
+    member = written(lookup(member, most, ["v"], "all", n_lists).where("main IS NOT NULL"), "members")
+    odd = member.where("circle <> main").selectExpr("v", "id AS ix", "n AS nx", "c AS cx", "circle AS gx", "close AS hx")
+    other = member.selectExpr("v AS v2", "id AS iy", "n AS ny", "c AS cy", "circle AS gy", "close AS hy", "circle = main AS in_main")
+    by_list = odd.join(other, F.expr(f"v = v2 AND gx <> gy AND cx <> cy AND (in_main OR ix < iy) AND {size} AND NOT arrays_overlap(hx, hy)")).select(F.col("ix").alias("a"), F.col("iy").alias("b"))
+
+    # pairs of one circle
+    inside = placed(near.select("a", F.col("b").alias("id"), F.col("nb").alias("n"), "linked", F.size("delta").alias("d"), "delta")).withColumn("rest", F.col("d") - s * F.col("n"))
+    inside = written(inside, "inside")
+    open_ = inside.groupBy("a").agg(F.min(F.when(~F.col("linked"), F.col("rest"))).alias("low_x"), F.min("rest").alias("low"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("low_x IS NOT NULL AND c0 <> c1")
+    open_ = written(open_.select("a", "low_x", "low", "m"), "open")
+    inside = lookup(inside, open_, ["a"], "m", inside.count()).where("low IS NOT NULL")
+    deltas = _rare_first(inside.select("a", "id", "n", "linked", "d", "c", "rest", "low_x", "low", F.explode("delta").alias("w")), ["a", "w"], ["a", "id"], scratch)
+    deltas = deltas.withColumn("at", F.col("d") - F.col("mine") + F.col("place")).where("at <= d + 1 - greatest(1, ceil((rest + low) / 2 - 1e-9))")
+    deltas = written(deltas.select("a", "w", "id", "n", "linked", "d", "c", "rest", "at", F.expr("at <= d + 1 - greatest(1, ceil((rest + low_x) / 2 - 1e-9))").alias("as_y")), "deltas")
+    x = deltas.where("NOT linked").selectExpr("a", "w", "id AS ix", "n AS nx", "d AS dx", "c AS cx", "rest AS rx", "at AS px")
+    y = deltas.where("as_y").selectExpr("a AS a2", "w AS w2", "id AS iy", "n AS ny", "d AS dy", "c AS cy", "rest AS ry", "at AS py", "linked AS ly")
+    need = "greatest(1, ceil((rx + ry) / 2 - 1e-9))"
+    by_delta = x.join(y, F.expr(f"a = a2 AND w = w2 AND cx <> cy AND (ly OR ix < iy) AND {size} AND px <= dx + 1 - {need} AND py <= dy + 1 - {need}")).select(F.col("ix").alias("a"), F.col("iy").alias("b"))
+    pairs = by_list.unionByName(by_delta).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = likely(pairs, may_link)
     if not more.isEmpty():
-        found = _linked(docs, more, width, percent)
-        components = written(connected_components(links.unionByName(written(found, "links"))), "components")
+        found = _compared(texts, more, width, scratch).where(f"100 * shared >= {percent} * (na + nb - shared)").select("a", "b")
+        components = connected_components(written(links.unionByName(found), "links"), scratch)
 
-    named = classes.select("digest", "copies", "id").join(components, "id", "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id"))
-    out = lookup(rows.select("doc_id", "n_shingles", F.coalesce("digest", F.lit(b"")).alias("digest")), named, ["digest"], "copies", rows.count())
+    named = written(classes.select("digest", "copies", "id").join(components, "id", "left").select("digest", "copies", F.coalesce("component_id", "id").alias("component_id")), "named")
+    out = lookup(rows.select("doc_id", "n_shingles", F.coalesce(named_by, F.lit(b"")).alias("digest")), named, ["digest"], "copies", rows.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    result = Scratch(docs.sparkSession).written(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    scratch.clear()
+    return result

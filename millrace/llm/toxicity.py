@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, other_columns, written
 from .textvec import SLICE_BYTES, span_hashes
 
 # Insults, and second-person words of the four languages.
@@ -31,10 +31,23 @@ NEAR = 5
 N_FEATURES = 20
 
 
-def _keys(data: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The words' hashes, and those of their beginnings (0 for shorter words)."""
-    words, firsts = span_hashes(data, PREFIXES)
-    return words, firsts
+def _parts(text: bytes) -> Iterator[bytes]:
+    """Slices of about SLICE_BYTES that end at spaces, so that no word is cut."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        cut = text.rfind(b" ", at, at + SLICE_BYTES)
+        cut = text.find(b" ", at + SLICE_BYTES) if cut <= at else cut
+        if cut < 0:
+            break
+        yield text[at : cut + 1]
+        at = cut + 1
+    yield text[at:]
+
+
+def _keys(text: bytes, lengths: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words' hashes, and those of their beginnings (0 for shorter words), of a whole text in order."""
+    found = [span_hashes(part, lengths) for part in _parts(text)]
+    return np.concatenate([w for w, _ in found]), [np.concatenate([f[k] for _, f in found]) for k in range(len(lengths))]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -49,23 +62,10 @@ def _inside(found: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == found, at, -1)
 
 
-def _parts(text: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(text) - at > SLICE_BYTES:
-        cut = text.rfind(b" ", at, at + SLICE_BYTES)
-        cut = at + SLICE_BYTES if cut <= at else cut + 1
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def doc_keys(text: bytes) -> np.ndarray:
     """Distinct hashes of the words and beginnings of words of a text."""
-    out = [np.empty(0, np.uint64)]
-    for part in _parts(text):
-        words, firsts = _keys(part.translate(_PLAIN))
-        out += [words, *(f[f != 0] for f in firsts)]
-    return np.unique(np.concatenate(out))
+    words, firsts = _keys(text.translate(_PLAIN))
+    return np.unique(np.concatenate([words, *(f[f != 0] for f in firsts)]))
 
 
 class Lexicon:
@@ -77,44 +77,37 @@ class Lexicon:
         self.insults, self.second = _hashes(INSULTS), _hashes(SECOND_PERSON)
 
     def features(self, text: str) -> np.ndarray:
-        """Of a whole text; slices of a very long one are summed."""
+        """Of a whole text, with the distances of its words over all its length."""
         raw = text.encode("utf-8", "surrogatepass")
-        n = hits = insults = second = near = hidden = strong = 0
-        odds = top = 0.0
-        distinct: set[int] = set()
-        for part in _parts(raw):
-            words, firsts = _keys(part.translate(_PLAIN))
-            n += len(words)
-            at = _inside(words, self.keys)
-            for f in firsts if len(self.keys) else []:
-                other = _inside(f, self.keys)
-                at = np.where((at < 0) | ((other >= 0) & (self.odds[other] > self.odds[at])), other, at)
-            bad = at >= 0
-            fixed = _inside(words, self.insults) >= 0
-            you = np.flatnonzero(_inside(words, self.second) >= 0)
-            hits += int(bad.sum())
-            insults += int(fixed.sum())
-            second += len(you)
-            if bad.any():
-                odds += float(self.odds[at[bad]].sum())
-                top = max(top, float(self.odds[at[bad]].max()))
-                strong += int((self.odds[at[bad]] > 3).sum())
-                distinct.update(at[bad].tolist())
-            places = np.flatnonzero(bad | fixed)
-            if len(you) and len(places):
-                k = np.searchsorted(you, places)
-                gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - places), np.abs(you[np.maximum(k - 1, 0)] - places))
-                near += int((gap <= NEAR).sum())
-            leet, _ = span_hashes(part.translate(_LEETED, _GONE), ())
-            seen = int((_inside(leet, self.insults) >= 0).sum()) + int((_inside(leet, self.keys) >= 0).sum())
-            hidden += max(0, seen - int(fixed.sum()) - int((_inside(words, self.keys) >= 0).sum()))
+        words, firsts = _keys(raw.translate(_PLAIN))
+        n, near, odds, top, strong, distinct = len(words), 0, 0.0, 0.0, 0, 0
+        known = _inside(words, self.keys)
+        at = known
+        for f in firsts if len(self.keys) else []:
+            other = _inside(f, self.keys)
+            at = np.where((at < 0) | ((other >= 0) & (self.odds[other] > self.odds[at])), other, at)
+        bad = at >= 0
+        fixed = _inside(words, self.insults) >= 0
+        you = np.flatnonzero(_inside(words, self.second) >= 0)
+        hits, insults, second = int(bad.sum()), int(fixed.sum()), len(you)
+        if hits:
+            mine = self.odds[at[bad]]
+            odds, top, strong, distinct = float(mine.sum()), float(mine.max()), int((mine > 3).sum()), len(np.unique(at[bad]))
+        places = np.flatnonzero(bad | fixed)
+        if len(you) and len(places):
+            k = np.searchsorted(you, places)
+            gap = np.minimum(np.abs(you[np.minimum(k, len(you) - 1)] - places), np.abs(you[np.maximum(k - 1, 0)] - places))
+            near = int((gap <= NEAR).sum())
+        leet, _ = _keys(raw.translate(_LEETED, _GONE), ())
+        seen = int((_inside(leet, self.insults) >= 0).sum()) + int((_inside(leet, self.keys) >= 0).sum())
+        hidden = max(0, seen - insults - int((known >= 0).sum()))
         size = max(1, len(raw))
         count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256, np.int64)
         upper, lower = count[65:91].sum(), count[97:123].sum()
         marks = count[list(_PUNCTUATION)].sum()
         d = max(1, n)
         return np.array([
-            np.log1p(n), hits, hits / d, odds, odds / d, top, strong, len(distinct), insults, insults / d, second / d, near, near / d,
+            np.log1p(n), hits, hits / d, odds, odds / d, top, strong, distinct, insults, insults / d, second / d, near, near / d,
             upper / max(1, upper + lower), marks / size, count[33] / size, count[48:58].sum() / size, hidden, hidden / d, count[128:].sum() / size,
         ])
 
@@ -195,44 +188,47 @@ class Model:
         return np.clip(0.999 * np.interp(margin, *self.knots) + 0.001 * _sigmoid(margin), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, terms: int = 1 << 16) -> Model | None:
     """A model from the rows of docs (doc_id, text) and labels (doc_id, toxic 0 or 1); None unless both labels occur.
 
-    About sample / 2 rows of each label are drawn by a hash of doc_id.  Half of them give the lexicon: keys at least
+    About sample / 2 rows of each label are drawn by a hash of doc_id, so the drawn labels are few and are broadcast: texts
+    are never shuffled.  Half of them give the lexicon: the `terms` keys of most toxic texts among those at least
     eight times as frequent in toxic texts, in at least three of them.  A third gives the trees, the rest the calibration,
     whose rows weigh the inverse of their label's rate of sampling: a score is a probability at the labels' true shares.
+    Of rows that share a doc_id the largest text counts, of their labels the largest; null doc_ids and other labels are left out.
     """
-    labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
     chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = {t: min(1.0, sample / 2 / n) for t, n in sizes.items()}
     rate = F.when(F.col("toxic") == 1, F.lit(rates[1])).otherwise(F.lit(rates[0]))
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(12))
-    drawn = docs.select("doc_id", "text").join(labels.where(chance < rate), "doc_id").select("doc_id", "text", "toxic", fold.alias("fold"))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(12)).cast("int")
+    likely = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(chance < max(rates.values()))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(chance < rate)
+    drawn = likely.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    drawn = written(drawn.withColumn("fold", fold), "drawn")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [doc_keys((t or "").encode("utf-8", "surrogatepass")).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "keys"])
-
-    rows = drawn.where("fold < 6").select("text", F.col("toxic").cast("int")).mapInArrow(keys, "toxic int, keys binary").collect()
-    empty = np.empty(0, np.uint64)
-    yes, no = (np.unique(np.concatenate([empty, *(np.frombuffer(r["keys"], np.uint64) for r in rows if r.toxic == t)]), return_counts=True) for t in (1, 0))
-    n_yes, n_no = sum(r.toxic == 1 for r in rows), sum(r.toxic == 0 for r in rows)
-    at = _inside(yes[0], no[0])
-    against = np.where(at >= 0, no[1][at] if len(no[1]) else 0, 0)
-    odds = np.log((yes[1] + 0.5) / (n_yes + 1)) - np.log((against + 0.5) / (n_no + 1))
-    take = (odds > np.log(8)) & (yes[1] >= 3)
-    lexicon = Lexicon(yes[0][take], odds[take])
+            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+                found = doc_keys((text or "").encode("utf-8", "surrogatepass")).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), toxic, np.int32)), pa.array(found)], names=["toxic", "key"])
+
+    half = drawn.where("fold < 6")
+    n = {r.toxic: r["count"] for r in half.groupBy("toxic").count().collect()}
+    counted = half.mapInArrow(keys, "toxic int, key long").groupBy("key").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
+    odds = F.log((F.col("yes") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("no") + 0.5) / (n.get(0, 0) + 1))
+    found = counted.withColumn("odds", odds).where((F.col("odds") > float(np.log(8))) & (F.col("yes") >= 3)).orderBy(F.desc("yes"), F.desc("odds"), "key").limit(terms).collect()
+    lexicon = Lexicon(np.array([r.key for r in found], np.int64).view(np.uint64), np.array([r.odds for r in found], float))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [lexicon.features(t or "").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("fold"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "fold", "x"])
 
-    rest = drawn.where("fold >= 6").select("doc_id", "text", F.col("toxic").cast("int"), F.col("fold").cast("int"))
+    rest = drawn.where("fold >= 6")
     rows = sorted(rest.mapInArrow(features, "doc_id long, toxic int, fold int, x binary").collect(), key=lambda r: (r.doc_id, r.toxic))
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, N_FEATURES)
     y, fold_of = np.array([r.toxic for r in rows], float), np.array([r.fold for r in rows])
@@ -247,9 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Model | Non
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1; 0 without a model) and predicted (1 from threshold); null texts count as empty."""
+    """docs with score (0 to 1; 0 without a model) and predicted (1 from threshold), which replace columns so named in any case.
+
+    Every row, repeated ones and those without doc_id too, is scored by its text alone; null texts count as empty.  An empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    columns = other_columns(docs, "score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

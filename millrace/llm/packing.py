@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from .common import written
 #: (lengths of one filling, largest first; number of sequences filled so)
 Plan = list[tuple[tuple[int, ...], int]]
 
+log = logging.getLogger(__name__)
+
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing over counts of equal lengths: sequences with equal contents move together."""
@@ -82,28 +85,148 @@ def _fillings(sizes: list[int], counts: Counter, room: int, most: int) -> list[t
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The bound of Martello and Toth: for each small size a, what must be alone, what is large, and what the rest then lacks."""
-    best = 0
-    for a in range(capacity // 2 + 1):
-        alone = sum(n for s, n in counts.items() if s > capacity - a)
-        large = {s: n for s, n in counts.items() if capacity < 2 * s and s <= capacity - a}
-        room = sum(n * (capacity - s) for s, n in large.items())
-        small = sum(s * n for s, n in counts.items() if a <= s and 2 * s <= capacity)
-        best = max(best, alone + sum(large.values()) + max(0, -(-(small - room) // capacity)))
+    """A proven least number of sequences.
+
+    For each small size a: pieces over capacity - a (top) have nothing of a or more beside them.  Those over capacity - 2 a
+    have at most one such piece beside them, and the best pairing of these leaves some room.  Only pieces under a may fill either
+    room, and what they cannot fill is waste beside the sum of all lengths.  Martello and Toth's bound is the case without pairing.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        left[s] = n
+    volume = left * np.arange(capacity + 1)
+    total, best = int(volume.sum()), -(-int(volume.sum()) // capacity)
+    for a in range(1, capacity // 2 + 1):
+        small, top = int(volume[:a].sum()), range(capacity - a + 1, capacity + 1)
+        rooms = sum(int(left[b]) * (capacity - b) for b in top)
+        best = max(best, -(-(total + max(0, rooms - small)) // capacity))
+        if 4 * a > capacity:
+            continue
+        # largest piece first, into the smallest room that holds it: this pairs the most that can be paired
+        spare = {r: int(left[capacity - r]) for r in range(a, 2 * a)}
+        rooms += sum(r * n for r, n in spare.items())
+        for s in range(2 * a - 1, a - 1, -1):
+            n = int(left[s])
+            for r in range(s, 2 * a):
+                took = min(n, spare[r])
+                spare[r] -= took
+                n -= took
+                rooms -= took * s
+                if not n:
+                    break
+        best = max(best, -(-(total + max(0, rooms - small)) // capacity))
+    return max(best, int(left[capacity // 2 + 1 :].sum()))
+
+
+def _plentiful(left: np.ndarray, room: int) -> tuple[tuple[int, ...], int] | None:
+    """The two or three pieces that fill the room exactly and of whose scarcest size most are left, with a quarter of that number."""
+
+    def two(room: int) -> tuple[int, tuple[int, ...]]:
+        low = np.arange(1, room // 2 + 1)
+        n = np.minimum(left[low], left[room - low])
+        if room % 2 == 0 and room:
+            n[-1] = left[room // 2] // 2
+        k = int(n.argmax()) if len(n) else 0
+        return (int(n[k]), (room - k - 1, k + 1)) if len(n) else (0, ())
+
+    n, held = two(room)
+    if not n:
+        for s in map(int, np.argsort(-left[: max(0, room - 1)], kind="stable")[:8]):
+            if s and left[s]:
+                rest, pair = two(room - s)
+                least = min((int(left[x]) // (s, *pair).count(x) for x in (s, *pair)), default=0) if rest else 0
+                if least > n:
+                    n, held = least, tuple(sorted((s, *pair), reverse=True))
+    return (held, max(1, n // 4)) if n else None
+
+
+def _dearest(left: np.ndarray, value: np.ndarray, room: int) -> tuple[int, ...]:
+    """A filling of high value, by the best sums of values up to each room; pieces of which too few are left are replaced in further rounds."""
+    left, out = left[: room + 1].copy(), []
+    while room > 0:
+        sizes = np.flatnonzero(left[: room + 1])
+        if not len(sizes):
+            break
+        best, last = np.zeros(room + 1), np.zeros(room + 1, np.int64)
+        upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
+        for c in range(int(sizes[0]), room + 1):
+            total = best[c - sizes[: upto[c]]] + value[sizes[: upto[c]]]
+            k = int(total.argmax())
+            best[c], last[c] = (total[k], sizes[k]) if total[k] > best[c - 1] else (best[c - 1], 0)
+        c = room
+        while c >= sizes[0]:
+            s = int(last[c])
+            if s and left[s]:
+                left[s] -= 1
+                room -= s
+                out.append(s)
+            c -= s or 1
+    return tuple(sorted(out, reverse=True))
+
+
+def _descent(counts: dict[int, int], capacity: int, value: np.ndarray, spare: int, plenty: bool) -> tuple[Plan, bool]:
+    """One branch to its end, or until it has wasted more than spare: for the largest piece left, a piece that fills its room
+    alone, which dominates all else, or what is most plentiful (if plenty), or else what is dearest, as often as the counts allow."""
+    left = np.zeros(capacity + 1, np.int64)
+    for s, n in counts.items():
+        left[s] = n
+    plan: Plan = []
+    for big in range(capacity, 0, -1):
+        while left[big] and spare >= 0:
+            room, most = capacity - big, None
+            left[big] -= 1
+            if left[room]:
+                held: tuple[int, ...] = (room,)
+            elif plenty and (found := _plentiful(left, room)):
+                held, most = found
+            else:
+                held = _dearest(left, value, room)
+            left[big] += 1
+            n = min(int(left[s]) // c for s, c in Counter((big, *held)).items())
+            n = min(n, most or n)
+            for s in (big, *held):
+                left[s] -= n
+            spare -= n * (room - sum(held))
+            plan.append(((big, *held), n))
+    return plan, spare >= 0
+
+
+def _probes(counts: dict[int, int], capacity: int, best: Plan, least: int, probes: int) -> Plan:
+    """The best of several descents.  Lengths that ended in wasteful sequences gain value for the next one, and so are used earlier there."""
+    total = sum(s * n for s, n in counts.items())
+    best_n = sum(n for _, n in best)
+    size = np.arange(capacity + 1, dtype=float)
+    value, power = size, 1.0
+    for probe in range(probes):
+        if best_n <= least:
+            break
+        if probe in (1, 5):
+            power = 1.02 if probe == 1 else 1.1
+            value = size**power
+        plan, whole = _descent(counts, capacity, value, (best_n - 1) * capacity - total, plenty=probe == 0)
+        if whole:
+            best, best_n = plan, sum(n for _, n in plan)
+        gain, seen = np.zeros(capacity + 1), np.zeros(capacity + 1)
+        for (big, *held), n in plan:
+            for s in held or [big]:
+                gain[s] += n * capacity / (big + sum(held))
+                seen[s] += n
+        value = np.where(seen > 0, (value + size**power * gain / np.maximum(seen, 1)) / 2, value)
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 24) -> Plan:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 24, probes: int = 8) -> Plan:
     """As few sequences as branch and bound finds: the largest piece left is completed by each undominated filling in turn.
 
     A filling is used for as many sequences as the counts allow.  A branch ends when its waste exceeds what a better
-    solution than the incumbent may waste; best-fit decreasing gives the first incumbent, and every complete branch the next.
-    Within `nodes` steps and `width` fillings a step; with all sums met exactly, the bound is reached on the first descent.
+    solution than the incumbent may waste; best-fit decreasing and `probes` single descents, each with another order of the fillings,
+    give the first incumbents, and every complete branch the next.  The search ends at lower_bound(), when all is searched, or
+    after `nodes` steps with `width` fillings a step; pack() logs the bound beside what was found.
     """
     counts = Counter({s: n for s, n in counts.items() if n})
     total = sum(s * n for s, n in counts.items())
     least = lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
+    best = _probes(counts, capacity, best_fit(counts, capacity), least, probes)
     best_n = sum(n for _, n in best)
     left, plan = Counter(counts), []
 
@@ -160,7 +283,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000, w
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document's ids and end_id.
+    """doc_id, piece, start, length, ids_crc32 of every piece of every document's ids and end_id; nulls are empty texts, repeated rows are documents of their own.
 
     The ids are those of the tokenizer's JSON file: the rank file holds the same vocabulary, and the one special token,
     which the JSON file also finds inside texts, is given its id here.  Only documents of more than capacity ids are cut.
@@ -203,7 +326,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, salts: int = 64) -> DataFrame:
         before.append((length, salt, counts[length]))
         counts[length] += n
     spans, used, first = [], Counter(), 0
-    for held, n in bin_completion(counts, capacity):
+    plan = bin_completion(counts, capacity)
+    log.info("%d pieces in %d sequences; no plan has fewer than %d", sum(counts.values()), sum(n for _, n in plan), lower_bound(counts, capacity))
+    for held, n in plan:
         at = 0
         for length, k in sorted(Counter(held).items(), reverse=True):
             spans.append((length, used[length], used[length] + k * n, first, n, at))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 from .textvec import mix, word_hashes
 
 #: Words with their own output; the next most frequent ones share one, and so do the document ends.
@@ -20,10 +21,11 @@ HIDDEN = 16
 HEAD = 1 << 19
 #: Documents read side by side, steps of a window, tokens gathered before a pass.
 LANES, WINDOW, GATHER = 384, 48, 3 << 20
+#: The same in training, where a longer document is cut: states and gradients of a piece begin at zero.
+TRAIN_LANES, TRAIN_WINDOW, PIECE = 256, 32, 1024
 END = np.uint64(0x1F3D5B79E0C2A486)
-#: Share of the training documents, of each task alike, whose windows fit the recurrent weights in a round: all rounds see all.
-ROUNDS, RATE = 2, 0.2
-SHARE = 1 / ROUNDS
+#: The training documents are dealt by hash into rounds, and those of a round into shards of about so many tokens.
+ROUNDS, SHARD, RATE = 2, 500_000, 0.4
 #: Squares of gradients that a parameter has from the start: rare ones then move little.
 FLOOR = 1e-7
 LOG10 = float(np.log(10))
@@ -109,6 +111,12 @@ class Gru:
             "ww": 0 * f(v, hidden), "bw": np.log(p / of_class[self.class_of]).astype(np.float32),
         }
 
+    def copy(self) -> Gru:
+        """A model with parameters of its own: those of a broadcast must stay as they are, as Python workers are used again."""
+        out = copy.copy(self)
+        out.p, out.seen = {n: v.copy() for n, v in self.p.items()}, 0
+        return out
+
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """The state after the inputs x, and what backpropagation needs."""
         n, p = h.shape[1], self.p
@@ -164,7 +172,7 @@ class Gru:
         carried over the windows, while gradients stop at a window's edge.
         """
         size = np.array([len(d) for d in docs])
-        lanes = min(LANES if not learn else 32, len(docs))
+        lanes, window = (min(TRAIN_LANES, len(docs)), TRAIN_WINDOW) if learn else (min(LANES, len(docs)), WINDOW)
         held: list[list[int]] = [[] for _ in range(lanes)]
         load = np.zeros(lanes, np.int64)
         for k in np.argsort(-size, kind="stable"):
@@ -182,8 +190,8 @@ class Gru:
         state = np.zeros((lanes, hidden), np.float32)
         got = np.zeros((steps, lanes))
         square = {k: np.full(v.shape, FLOOR, np.float32) for k, v in p.items()} if learn else {}
-        for t0 in range(0, steps, WINDOW):
-            t1 = min(t0 + WINDOW, steps)
+        for t0 in range(0, steps, window):
+            t1 = min(t0 + window, steps)
             live = int((load > t0).sum())
             h = state[:live]
             kept, hs = [], np.empty((t1 - t0, live, hidden), np.float32)
@@ -209,7 +217,7 @@ class Gru:
                 dhs[inside] = dflat
                 self.back(x[t0:t1, :live], kept, dhs.reshape(t1 - t0, live, hidden), grads)
                 for name, g in grads.items():
-                    g /= lanes * WINDOW  # the last windows have few lanes left, and so little weight
+                    g /= lanes * window  # the last windows have few lanes left, and so little weight
                     square[name] += g * g
                     p[name] += np.float32(learn) * g / np.sqrt(square[name])
         out = np.zeros(len(docs))
@@ -270,55 +278,85 @@ class Head:
         return self.place[np.append(out, self.end)], at
 
 
-def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, share: float = SHARE) -> Gru:
-    """Rounds of local steps in every task on its share of documents, a new share each round; then the tasks' weights are averaged.
+def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, shard: int = SHARD) -> Gru:
+    """A model that has made local steps on every document: in each round every shard starts from the last weights, and their mean, by tokens, follows.
 
-    What is gathered grows with the input, as every task gives its weights; they are added up in slices in a shuffle.
+    Rounds and shards are dealt by a hash of doc_id and text and learned from in the order of it, so the model depends on the rows, not on how
+    they are partitioned or on how many tasks run.  Tasks add up the weights of their shards, so what is gathered grows with the
+    input, and is summed in slices in a shuffle.  Only outputs (two bytes a token) are shuffled, never texts.  Of shards that rows with one doc_id and text
+    overfill, several parts follow each other.
     """
+    scratch = Scratch(docs.sparkSession)
     spark = docs.sparkSession
     model = head.gru()
-    names = sorted(model.p)
-    sizes = {k: model.p[k].size for k in names}
+    names, end = sorted(model.p), int(head.place[head.end])
     heads = spark.sparkContext.broadcast(head)
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(13)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shards = max(1, round(head.n / rounds / shard))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = heads.value
+        for b in batches:
+            ids = [own.ids(words)[0].astype("<u2").tobytes() for words in word_hashes(_texts(b))]
+            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(ids, pa.binary())], names=["hash", "ids"])
+
+    key = F.xxhash64("doc_id", "text", F.lit(13)).alias("hash")
+    part = F.pmod("hash", F.lit(rounds * shards))
+    coded = scratch.written(docs.select(key, "text").mapInArrow(encode, "hash long, ids binary").select("hash", "ids", (part % rounds).cast("int").alias("round"), F.floor(part / rounds).cast("int").alias("shard")), "coded")
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, head = sent.value, heads.value
-            own.p = {n: v.copy() for n, v in own.p.items()}
-            held, size, seen = [], 0, 0
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent, rate=RATE / (1 + k)) -> Iterator[pa.RecordBatch]:
+            total = {n: np.zeros(v.shape) for n, v in sent.value.p.items()}
+            weight, at, held, size, own = 0, None, [], 0, None
+
+            def run() -> None:
+                nonlocal held, size
+                if held:
+                    own.run(held, end, rate)
+                held, size = [], 0
+
+            def close() -> None:
+                nonlocal weight
+                run()
+                if own:
+                    weight += own.seen
+                    for n in names:
+                        total[n] += own.seen * own.p[n].astype(np.float64)
+
             for b in batches:
-                for words in word_hashes(_texts(b)):
-                    held.append(head.ids(words)[0])
-                    size += len(held[-1])
-                if size > 1 << 18:
-                    own.run(held, head.place[head.end], RATE / (1 + k))
-                    seen, held, size = seen + size, [], 0
-            if held:
-                own.run(held, head.place[head.end], RATE / (1 + k))
-                seen += size
-            if seen:
-                flat = np.concatenate([own.p[n].ravel() for n in names])
-                parts = np.array_split(flat, 32)
-                yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([float(seen)] * 32), pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary())], names=["slice", "weight", "w"])
+                for s, raw in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                    if s != at:
+                        close()
+                        at, own = s, sent.value.copy()
+                    ids = np.frombuffer(raw, "<u2").astype(np.int64)
+                    held += [ids[i : i + PIECE] for i in range(0, len(ids), PIECE)]
+                    size, own.seen = size + len(ids), own.seen + len(ids)
+                    if size > 4 * shard:
+                        run()
+            close()
+            if weight:
+                parts = np.array_split(np.concatenate([total[n].ravel() for n in names]), 32)
+                yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([weight] * 32, pa.int64()), pa.array([x.astype("<f8").tobytes() for x in parts], pa.binary())], names=["slice", "weight", "w"])
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, list] = {}
             for b in batches:
                 for s, weight, w in zip(*(c.to_pylist() for c in b.columns)):
-                    held = sums.setdefault(s, [0.0, 0.0])
+                    held = sums.setdefault(s, [0, 0.0])
                     held[0] += weight
-                    held[1] = held[1] + weight * np.frombuffer(w, "<f4")
+                    held[1] = held[1] + np.frombuffer(w, "<f8")
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).astype("<f4").tobytes() for n, x in sums.values()], pa.binary())], names=["slice", "w"])
 
-        drawn = docs.where((chance >= k * share) & (chance < (k + 1) * share)).select("text")
-        rows = drawn.mapInArrow(learn, "slice int, weight double, w binary").repartition("slice").mapInArrow(average, "slice int, w binary").collect()
+        tasks = min(shards, 4 * spark.sparkContext.defaultParallelism)
+        dealt = coded.where(F.col("round") == k).repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "hash", "ids").select("shard", "ids")
+        rows = dealt.mapInArrow(learn, "slice int, weight long, w binary").repartition("slice").mapInArrow(average, "slice int, w binary").collect()
         if rows:
             flat, at = np.concatenate([np.frombuffer(r.w, "<f4") for r in sorted(rows, key=lambda r: r.slice)]), 0
+            model = model.copy()
             for n in names:
-                model.p[n] = flat[at : at + sizes[n]].reshape(model.p[n].shape).copy()
-                at += sizes[n]
+                model.p[n] = flat[at : at + model.p[n].size].reshape(model.p[n].shape).copy()
+                at += model.p[n].size
+    scratch.clear()
     return model
 
 
@@ -328,15 +366,18 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     train (doc_id, text) gives the counts and the model, both from all its rows.  The model spells a word
     outside its vocabulary as the shared output times the word's smoothed count among such words, so its probabilities of all
     words, and one unknown one, sum to 1.  Counts of words outside the head are joined, not broadcast.
+
+    Every row is scored for itself: repeated rows, null doc_ids and empty texts (one token, the end) too.  Without training rows the
+    model is uniform over its two outputs and train_tokens is 0; an empty docs gives no rows.
     """
     spark = docs.sparkSession
     counts = written(count_words(train), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least, room = 1, HEAD
-    by_count = counts.groupBy("c").count().orderBy(F.desc("c"))
-    # counts that occur: fewer than the square root of twice the tokens
-    for r in by_count.collect():
-        room -= r["count"]
+    # counts that differ by less than a ninth share a class, so there are a few hundred classes; the head has whole ones
+    least, room = 1 << 62, HEAD
+    kind = F.floor(8 * F.log2("c")).cast("int")
+    for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect():
+        room -= r.n
         if room < 0:
             break
         least = r.c

@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from millrace.llm.common import crc_mod, table
 from millrace.llm.lm import END, Gru, Head, Table, fit, score
@@ -40,10 +42,33 @@ def test_counts_and_base(spark, monkeypatch):
     checked(docs, docs.where(crc_mod(docs.doc_id, 7) != 2))
 
 
-def test_the_model_beats_the_base_on_held_out_text(spark, sf_dir):
+@pytest.fixture(scope="module")
+def scored(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
-    held = [r for r in checked(docs, docs.where(crc_mod(docs.doc_id, 7) != 2))]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    return docs, {n: checked(docs.repartition(n), docs.where(crc_mod(docs.doc_id, 7) != 2).repartition(n)) for n in (4, 32)}
+
+
+def test_the_model_beats_the_base_on_held_out_text(scored):
+    for rows in scored[1].values():
+        held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
+        assert len(held) > 100
+        gain = sum(r.score - r.base_score for r in held)
+        assert gain > -0.03 * sum(r.base_score for r in held)
+
+
+def test_scores_depend_on_the_rows_alone(scored):
+    docs, by = scored
+    four, many = ({r.doc_id: r.score for r in by[n]} for n in (4, 32))
+    again = {r.doc_id: r.score for r in score(docs, docs.where(crc_mod(docs.doc_id, 7) != 2)).collect()}
+    for other in (many, again):
+        assert all(abs(other[i] - x) <= 1e-5 * abs(x) for i, x in four.items())
+
+
+def test_shards_do_not_touch_what_is_sent():
+    model = Head(np.array([5, 6, END.astype(np.int64)]), np.array([9, 5, 20]), 34, 3).gru()
+    before = {k: v.copy() for k, v in model.p.items()}
+    model.copy().run([np.array([0, 1, 2]), np.array([2, 1])], 2, 0.4)
+    assert all((model.p[k] == v).all() for k, v in before.items())
 
 
 def test_probabilities_sum_to_one():

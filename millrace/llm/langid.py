@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, other_columns, own_name
 
 #: Hashed n-grams of each order share this many buckets.
 BUCKETS = 1 << 16
@@ -233,15 +233,19 @@ def train(docs: DataFrame, sample: int = 3000, epochs: int = 3, alpha: float = 0
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score (calibrated, 0 to 1); `und` and 0 for null texts, texts without a letter, or no model."""
+    """docs with lang_pred and score (calibrated, 0 to 1), which replace columns so named in any case; `und` and 0 for null texts, texts without a letter, or no model.
+
+    Every row is told by its whole text alone, repeated rows and those without doc_id too; of languages that tie the first in order wins.  An empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = other_columns(docs, "lang_pred", "score")
+    letter = f"{own_name(docs)}letter"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts, letters = _texts(b, "text"), b.column("_letter").to_pylist()
+            texts, letters = _texts(b, "text"), b.column(letter).to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
             mine = [k for k, x in enumerate(letters) if x] if m else []
             if mine:
@@ -250,8 +254,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     lang[k], score[k] = m.languages[int(q.argmax())], float(q.max())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*columns, "lang_pred", "score"])
 
-    letter: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*columns, letter.alias("_letter")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    has: Column = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.select(*columns, has.alias(letter)).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def learn_fold(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.llm import langid, toxicity
 from millrace.llm.common import table
 
-from .fixtures import documents
+from .fixtures import documents, no_documents
 from .test_near_dedup import brute
 
 
@@ -35,3 +37,23 @@ def test_edge_rows_pass_all_stages(spark):
         before, docs = docs, stage(spark, docs, "/root/testdata/sf0.001").cache()
         assert docs.count() > 0
         assert name == "packing" or docs.columns == before.columns
+
+
+def test_stages_take_any_further_columns(spark):
+    names = ["lang_pred", "Score", "predicted", "keep_id", "id", "sha", "sha2", "_id", "_hot", "_salt", "_letter", "c0", "c5"]
+    docs = documents(spark)
+    docs = docs.withColumns({n: F.lit(k) for k, n in enumerate(names) if n.lower() not in {c.lower() for c in docs.columns}})
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.count() > 0
+        assert name == "packing" or docs.columns == before.columns
+        if name == "near_dedup":
+            assert docs.select("_hot", "sha2", "c5").distinct().collect() == [(names.index("_hot"), names.index("sha2"), names.index("c5"))]
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = no_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.count() == 0
+        assert name == "packing" or docs.columns == before.columns

@@ -11,10 +11,10 @@ from . import journal as J
 
 
 def state(spark: SparkSession, spool: str) -> DataFrame:
-    """The fold of each shard's journals over its checkpoint, from the checkpoint's place on."""
+    """The fold of each shard's journals over its checkpoint, from the checkpoint's place on; an error where a journal of the chain is missing."""
     jobs = S.checkpoint_jobs(spark, spool)
     marks = jobs.where("state = 'none'").select("shard", "replay_journal", "replay_offset")
-    entries = S.state_entries(spark, spool).join(marks, "shard", "left")
+    entries = S.state_entries(spark, spool, marks=marks).join(F.broadcast(marks), "shard", "left")
     fresh = entries.where("replay_journal IS NULL OR struct(journal, offset) >= struct(replay_journal, replay_offset)")
     return J.fold(fresh, jobs.where("state <> 'none'"))
 
@@ -26,11 +26,13 @@ def tombstones(spark: SparkSession, spool: str, folded: DataFrame) -> DataFrame:
 
 
 def live_messages(spark: SparkSession, spool: str) -> DataFrame:
-    """Ready and deferred messages of the state, and those that only the log has: of several copies, the first in the log."""
+    """Ready and deferred messages of the state, and those that only the log from the checkpoint's cursor on has: of several copies, the first in the log."""
     folded = state(spark, spool)
     known = folded.where("state IS NOT NULL")
     heads = S.payload_records(spark, spool).select("shard", F.col("message_id").alias("id"), "segment", "offset", "enqueue_ms")
-    free = heads.join(tombstones(spark, spool, folded), ["shard", "segment", "id"], "left_anti").join(known.select("shard", "id"), ["shard", "id"], "left_anti")
+    cursors = S.checkpoint_jobs(spark, spool).where("state = 'none' AND cursor_segment IS NOT NULL").select("shard", "cursor_segment", "cursor_offset")
+    fresh = heads.join(F.broadcast(cursors), "shard", "left").where("cursor_segment IS NULL OR struct(segment, offset) >= struct(cursor_segment, cursor_offset)")
+    free = fresh.select(heads.columns).join(tombstones(spark, spool, folded), ["shard", "segment", "id"], "left_anti").join(known.select("shard", "id"), ["shard", "id"], "left_anti")
     found = free.groupBy("shard", "id").agg(F.min(F.struct("segment", "offset", "enqueue_ms")).alias("h"))
     found = found.select("shard", "id", F.lit("ready").alias("state"), F.col("h.segment").alias("segment"), F.col("h.offset").alias("offset"), F.lit(0).cast("long").alias("attempts"), F.col("h.enqueue_ms").alias("enqueue_ms"), F.lit(None).cast("long").alias("next_attempt_ms"))
     placed = known.select("shard", "id", "state", F.col("location.segment").alias("segment"), F.col("location.offset").alias("offset"), "attempts", "next_attempt_ms")

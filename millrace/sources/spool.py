@@ -19,8 +19,8 @@ _RECORD = {"shard": pa.int32(), "segment": pa.int64(), "offset": pa.int64(), "me
 RECORD = "shard int, segment long, offset long, message_id binary, message_ulid string, enqueue_ms long, generation long, ordinal long, sender string, recipients array<string>, record_len long, header_len long, payload_crc long, body binary"
 _ENTRY = {"shard": pa.int32(), "journal": pa.int64(), "offset": pa.int64(), "kind": pa.int32(), "id": pa.binary(), "location": _PLACE, "attempts": pa.int64(), "next_attempt_ms": pa.int64(), "remaining": pa.list_(pa.string()), "last_error": pa.string(), "timestamp_ms": pa.int64(), "reason": pa.string(), "new_location": _PLACE}
 ENTRY = f"shard int, journal long, offset long, kind int, id binary, location {PLACE}, attempts long, next_attempt_ms long, remaining array<string>, last_error string, timestamp_ms long, reason string, new_location {PLACE}"
-_JOB = {"shard": pa.int32(), "replay_journal": pa.int64(), "replay_offset": pa.int64(), "state": pa.string(), "id": pa.binary(), "location": _PLACE, "attempts": pa.int64(), "enqueue_ms": pa.int64(), "next_attempt_ms": pa.int64(), "remaining": pa.list_(pa.string()), "last_error": pa.string()}
-JOB = f"shard int, replay_journal long, replay_offset long, state string, id binary, location {PLACE}, attempts long, enqueue_ms long, next_attempt_ms long, remaining array<string>, last_error string"
+_JOB = {"shard": pa.int32(), "replay_journal": pa.int64(), "replay_offset": pa.int64(), "cursor_segment": pa.int64(), "cursor_offset": pa.int64(), "state": pa.string(), "id": pa.binary(), "location": _PLACE, "attempts": pa.int64(), "enqueue_ms": pa.int64(), "next_attempt_ms": pa.int64(), "remaining": pa.list_(pa.string()), "last_error": pa.string()}
+JOB = f"shard int, replay_journal long, replay_offset long, cursor_segment long, cursor_offset long, state string, id binary, location {PLACE}, attempts long, enqueue_ms long, next_attempt_ms long, remaining array<string>, last_error string"
 
 
 def _batch(rows: list[dict], kinds: dict) -> pa.RecordBatch:
@@ -47,7 +47,6 @@ def _decoded(files: DataFrame, number: str, kinds: dict, schema: str, rows) -> D
 def files(spark: SparkSession, spool: str, pattern: str, name: str, stream: bool = False, per_trigger: int | None = None) -> DataFrame:
     """shard, number, kind, length and content of the files named so; names that only look alike are left out."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file a batch
     reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary") if stream else spark.read
     reader = reader.format("binaryFile").option("pathGlobFilter", pattern)
     reader = reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader
@@ -72,17 +71,49 @@ def payload_records(spark: SparkSession, spool: str, bodies: bool = False, tail:
     return _decoded(found, "segment", _RECORD, RECORD, lambda f: (r | {"message_ulid": codec.ulid(r["message_id"])} for r in codec.records(f["content"], tail if f["kind"] == "active" else "fail", bodies)))
 
 
-def state_entries(spark: SparkSession, spool: str, tail: str = "stop") -> DataFrame:
-    """The entries of all journals; a torn tail ends its journal (`stop`) or is an error (`fail`)."""
-    return _decoded(files(spark, spool, "journal-*.log", JOURNAL_NAME), "journal", _ENTRY, ENTRY, lambda f: codec.entries(f["content"], tail))
+def record_at(spark: SparkSession, spool: str, shard: int, segment: int, offset: int) -> DataFrame:
+    """The one record at a place, with its body and both checksums checked; no row where there is none.  Only that segment's file is read."""
+
+    def one(f: dict) -> Iterator[dict]:
+        found = codec.records(f["content"][offset:], "fail", True) if offset < len(f["content"]) else iter(())
+        yield from ({**r, "offset": offset, "message_ulid": codec.ulid(r["message_id"])} for r in [next(found, None)] if r)
+
+    found = files(spark, spool, f"segment-{segment:012d}.*", SEGMENT_NAME).where(F.col("shard") == shard)
+    return _decoded(found, "segment", _RECORD, RECORD, one)
+
+
+def journal_chain(spark: SparkSession, spool: str, marks: DataFrame | None = None) -> DataFrame:
+    """shard, first, last, replay_journal and fault of the journals that a state needs: all, or those from its checkpoint's replay_journal on.
+
+    fault is null, or says that an ordinal is missing or that the journal which the checkpoint goes on from is not there.  Only names are read.
+    """
+    found = files(spark, spool, "journal-*.log", JOURNAL_NAME).select("shard", F.col("number").alias("journal"))
+    marks = marks if marks is not None else spark.createDataFrame([], "shard int, replay_journal long")
+    found = found.join(F.broadcast(marks.select("shard", "replay_journal")), "shard", "left").where("journal >= coalesce(replay_journal, 0)")
+    ends = found.groupBy("shard", "replay_journal").agg(F.min("journal").alias("first"), F.max("journal").alias("last"), F.countDistinct("journal").alias("n"))
+    fault = F.expr("""CASE WHEN last - first + 1 <> n THEN concat('journals of shard ', shard, ' have a gap between ', first, ' and ', last)
+        WHEN replay_journal > 0 AND first <> replay_journal THEN concat('the checkpoint of shard ', shard, ' goes on from journal ', replay_journal, ' but the oldest is ', first) END""")
+    return ends.select("shard", "first", "last", "replay_journal", fault.alias("fault"))
+
+
+def state_entries(spark: SparkSession, spool: str, tail: str = "stop", marks: DataFrame | None = None) -> DataFrame:
+    """The entries of all journals, or of those from marks (shard, replay_journal) on; a torn tail ends the last journal of a shard (`stop`) or is an error (`fail`).
+
+    A torn tail of an earlier journal and a fault of the chain are errors when the rows are read: a lost file must not give another state.
+    """
+    # a row a shard
+    chain = journal_chain(spark, spool, marks).select("shard", "first", F.when(F.col("fault").isNotNull(), F.raise_error(F.col("fault"))).otherwise(F.col("last")).cast("long").alias("last"))
+    found = files(spark, spool, "journal-*.log", JOURNAL_NAME).join(F.broadcast(chain), "shard").where("number >= first")
+    return _decoded(found, "journal", _ENTRY, ENTRY, lambda f: codec.entries(f["content"], tail if f["number"] == f["last"] else "fail"))
 
 
 def checkpoint_jobs(spark: SparkSession, spool: str) -> DataFrame:
-    """The ready and deferred jobs of the checkpoints, and where each replays from; no rows without checkpoints."""
+    """The ready and deferred jobs of the checkpoints, and one row (state `none`) for each, all with where it replays from and its scan cursor; no rows without checkpoints."""
 
     def jobs(f: dict) -> Iterator[dict]:
         cp = codec.decode_checkpoint(f["content"])
-        at = {"replay_journal": cp["replay_from"][0], "replay_offset": cp["replay_from"][1]}
+        segment, offset = cp["cursor"] or (None, None)
+        at = {"replay_journal": cp["replay_from"][0], "replay_offset": cp["replay_from"][1], "cursor_segment": segment, "cursor_offset": offset}
         yield at | {"state": "none"}
         for state in ("ready", "deferred"):
             yield from (j | at | {"state": state} for j in cp[state])

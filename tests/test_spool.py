@@ -121,6 +121,43 @@ def test_list_show_and_stats(spark, tmp_path):
     assert stats[0].total_bytes == sum(map(len, recs)) + 4
 
 
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    folder = tmp_path / "shard-0003"
+    folder.mkdir()
+    raw = [codec.encode_entry(e) for e in random_entries(9, 4)]
+    for k, n in enumerate((4, 5, 7)):
+        (folder / f"journal-{n:012d}.log").write_bytes(b"".join(raw[3 * k : 3 * k + 3]))
+    with pytest.raises(Exception, match="gap between 4 and 7"):
+        Q.state(spark, str(tmp_path)).collect()
+    (folder / "journal-000000000006.log").write_bytes(raw[0])
+    assert spool.state_entries(spark, str(tmp_path)).count() == 10
+    cp = {"replay_from": (5, len(raw[3])), "cursor": None, "ready": [], "deferred": [], "tombstones": [], "segment_stats": []}
+    (folder / "checkpoint").write_bytes(codec.encode_checkpoint(cp))
+    assert [(r.first, r.last, r.fault) for r in spool.journal_chain(spark, str(tmp_path), spool.checkpoint_jobs(spark, str(tmp_path))).collect()] == [(5, 7, None)]
+    assert Q.state(spark, str(tmp_path)).count() > 0
+    (folder / "checkpoint").write_bytes(codec.encode_checkpoint(cp | {"replay_from": (3, 0)}))
+    with pytest.raises(Exception, match="goes on from journal 3"):
+        Q.state(spark, str(tmp_path)).collect()
+    (folder / "checkpoint").unlink()
+    (folder / "journal-000000000005.log").write_bytes(raw[3] + raw[4][:7])  # torn, and not the last
+    with pytest.raises(Exception, match="(?i)incomplete|corrupt|torn"):
+        spool.state_entries(spark, str(tmp_path)).collect()
+
+
+def test_cursor_and_point_reads(spark, tmp_path):
+    folder = tmp_path / "shard-0000"
+    folder.mkdir()
+    recs = [codec.encode_record(mid(n), 1000 + n, "s@x.y", ["r@x.y"], b"body %d" % n, ordinal=n) for n in range(4)]
+    (folder / "segment-000000000001.open").write_bytes(b"".join(recs))
+    offsets = [sum(map(len, recs[:n])) for n in range(4)]
+    cp = {"replay_from": (0, 0), "cursor": (1, offsets[2]), "ready": [], "deferred": [], "tombstones": [], "segment_stats": []}
+    (folder / "checkpoint").write_bytes(codec.encode_checkpoint(cp))
+    assert {bytes(r.id) for r in Q.live_messages(spark, str(tmp_path)).collect()} == {mid(2), mid(3)}
+    [row] = spool.record_at(spark, str(tmp_path), 0, 1, offsets[1]).collect()
+    assert (bytes(row.message_id), bytes(row.body), row.offset) == (mid(1), b"body 1", offsets[1])
+    assert spool.record_at(spark, str(tmp_path), 0, 1, sum(map(len, recs))).count() == 0 == spool.record_at(spark, str(tmp_path), 0, 2, 0).count()
+
+
 def test_older_store_and_events(spark, tmp_path):
     for d in ("queued", "deferred"):
         (tmp_path / d).mkdir()

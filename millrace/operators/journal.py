@@ -183,5 +183,5 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float])
 
 def exposition(samples: DataFrame) -> DataFrame:
     """metric, labels (map) and value as lines of the Prometheus text format."""
-    label = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'(["\\\\])', r"\\$1"), F.lit('"'))), ",")
+    label = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.replace(F.regexp_replace(e["value"], r'(["\\\\])', r"\\$1"), F.lit("\n"), F.lit("\\n")), F.lit('"'))), ",")
     return samples.select(F.concat("metric", F.when(label != "", F.concat(F.lit("{"), label, F.lit("}"))).otherwise(""), F.lit(" "), F.format_string("%s", F.col("value"))).alias("line"))

@@ -68,4 +68,11 @@ def test_bucket_and_exposition(spark):
     rows = spark.createDataFrame([("d", k, t) for k, t in enumerate([0, 0, 0, 500, 30_000, 30_001, 100_000])], "k string, n int, t long")
     assert J.token_bucket(rows, ["k"], ["n"], "t", 2).first()[1:] == (4, 3, 1)
     samples = spark.createDataFrame([("m_total", {"b": 'x"y', "a": "1"}, 2.0), ("g", {}, 1.5)], "metric string, labels map<string,string>, value double")
+    odd = spark.createDataFrame([("m", {"a": 'x\n"\\'}, 1.0)], samples.schema)
+    assert [r.line for r in J.exposition(odd).collect()] == ['m{a="x\\n\\"\\\\"} 1.0']
     assert [r.line for r in J.exposition(samples).collect()] == ['m_total{a="1",b="x\\"y"} 2.0', "g 1.5"]
+
+
+def test_enforcement(spark):
+    rows = [(mode, hit) for mode in ("enforce", "testing", "none") for hit in (True, False)]
+    assert values(spark, D.enforcement(F.col("m"), F.col("h")), rows, "m string, h boolean") == ["use", "skip", "use", "count", "use", "use"]

@@ -47,3 +47,9 @@ def test_no_history_is_gathered_in_a_row(spark):
     for out in (J.token_bucket(df, ["k"], ["n"], "v", 2), J.pack_segments(df, ["k"], "n", "v", 9), J.fold(entries)):
         assert "collect_list" not in out._jdf.queryExecution().toString()
         assert out.collect() == []
+
+
+def test_gaps_and_prefixes(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 2), ("b", 3), ("c", 1)], "k string, n int")
+    assert [tuple(r) for r in J.gaps(rows, ["k"], "n").collect()] == [("b", 2, 0)]
+    assert {tuple(r) for r in J.valid_prefix(rows, ["k"], "n").collect()} == {("a", 3), ("b", 1), ("c", 0)}

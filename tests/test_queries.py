@@ -38,4 +38,4 @@ def test_against_sql(spark, duck, sf_dir, name):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert x == y
-    assert a or name in ("q16_duplicate_ordinals",)
+    assert a or name in ("q15_gap_check", "q16_duplicate_ordinals")  # none in the tables: test_journal.py has some

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -57,3 +59,32 @@ def test_document_frequencies_count_all_rows(spark):
     assert n == 4
     # a 3, b 2, aa 1, ab 2
     assert sorted(df[df > 0]) == [1, 2, 2, 3]
+
+
+def plain_prediction(model, text):
+    """The score of a text by the definition, one n-gram after the other in plain Python."""
+    def bucket(gram):
+        h = len(gram) * 0x27D4EB2F & 0xFFFFFFFF
+        for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            h ^= ord(c) * m & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        return (h ^ h >> 13) % langid.BUCKETS
+
+    low = text.lower().replace("\0", " ")
+    grams = [low[k : k + n] for n in (1, 2, 3) for k in range(len(low) - n + 1)]
+    logits = [(langid.SCALE * sum(float(model.table[bucket(g), c]) for g in grams) / max(1, len(grams)) + model.bias[c]) / model.temperature for c in range(len(model.languages))]
+    top = max(logits)
+    p = [math.exp(x - top) for x in logits]
+    best = max(range(len(p)), key=lambda c: p[c])
+    return (model.languages[best], p[best] / sum(p)) if any(ch.isalpha() for ch in text) else ("und", 0.0)
+
+
+def test_predictions_against_plain_python(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = train(learn_fold(docs))
+    short = docs.where("n_chars < 500 OR n_chars IS NULL").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
+    rows = identify(short, model).collect()
+    assert len(rows) > 150
+    for r in rows:
+        lang, score = plain_prediction(model, r.text or "")
+        assert abs(r.score - score) < 1e-3 and (r.lang_pred == lang or abs(score - 0.5) < 1e-2)

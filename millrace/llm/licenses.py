@@ -91,6 +91,7 @@ class Scanner:
         self.words = [w.tolist() for w in word_hashes([templates[n].encode() for n in self.names])]
         self.vocabulary = np.unique(np.array([w for t in self.words for w in t], np.uint64))
         self.need = [Counter(t) for t in self.words]
+        self.own = [np.isin(self.vocabulary, np.array(t, np.uint64)) for t in self.words]
         self.coverage = coverage
 
     def scan(self, words: np.ndarray) -> list[tuple[str, float, int, int]]:
@@ -100,11 +101,16 @@ class Scanner:
         where the words that both have, in any order, could reach the coverage.  Narrower windows in it tell notices that follow each other apart.
         """
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        hits = np.flatnonzero(self.vocabulary[at] == words)
-        found = []
-        for name, template, need in zip(self.names, self.words, self.need) if len(hits) else ():
+        known = np.flatnonzero(self.vocabulary[at] == words)
+        codes, found = at[known], []
+        for name, template, need, own in zip(self.names, self.words, self.need, self.own):
             n = len(template)
             least, step = self.coverage * n, n // 2 + 1
+            if len(known) < least:
+                continue
+            hits = known[own[codes]]
+            if len(hits) < least:
+                continue
             starts = np.unique(np.concatenate([np.maximum(0, (hits // step - k) * step) for k in range(4)]))
             inside = np.searchsorted(hits, starts + 2 * n) - np.searchsorted(hits, starts)
             for s in starts[inside >= least].tolist():

@@ -21,6 +21,9 @@ ORACLE_SQL: dict[str, str] = {}
 EVENTS_NOW, ORDERS_NOW = 1_800_000_000_000, 900_000_000_000
 ENDS = ["delivered", "bounced"]
 
+#: Rows of large tables that one task joins and groups by key, whatever the input's size.
+TASK_ROWS = 1 << 19
+
 
 def query(sql: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
@@ -117,8 +120,11 @@ def q07_undiscovered(spark, sf_dir):
     FROM lineitem l LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'O') o ON o.o_orderkey = l.l_orderkey GROUP BY ALL""")
 def q08_generation_theta_join(spark, sf_dir):
     """A header is new, a relocation if its generation is higher than the tracked one, or dropped."""
-    tracked = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), (F.length("o_orderstatus") + 1).alias("known"))
-    joined = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(tracked, "l_orderkey", "left")
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    # sizes of shuffled keys say little of the memory to sort and group them: tasks are as many as the rows need
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(lines.count() + orders.count()) // TASK_ROWS))
+    tracked = orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"), (F.length("o_orderstatus") + 1).alias("known")).repartition(tasks, "l_orderkey")
+    joined = lines.select("l_orderkey", "l_linenumber").repartition(tasks, "l_orderkey").join(tracked, "l_orderkey", "left")
     verdict = F.when(F.col("known").isNull(), "new").when(F.col("l_linenumber") > F.col("known"), "relocation").otherwise("drop")
     return joined.groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("generation"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
 

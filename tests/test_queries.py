@@ -2,10 +2,12 @@
 
 import datetime
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
@@ -39,3 +41,27 @@ def test_against_sql(spark, duck, sf_dir, name):
     for x, y in zip(a, b):
         assert x == y
     assert a or name in ("q15_gap_check", "q16_duplicate_ordinals")  # none in the tables: test_journal.py has some
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_generations_are_dealt_by_rows(spark, tmp_path, monkeypatch, broadcast):
+    """However small the shuffled keys are, no task joins and groups more than its share; keys may be null, orders repeated."""
+    monkeypatch.setattr("millrace.plans.registry.TASK_ROWS", 1000, raising=False)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE orders AS SELECT nullif(i, 7) AS o_orderkey, CASE WHEN i % 3 = 0 THEN 'O' WHEN i % 3 = 1 THEN 'F' END AS o_orderstatus FROM (SELECT * FROM range(5000) r(i) UNION ALL SELECT * FROM range(0, 5000, 9))")
+    con.sql("CREATE TABLE lineitem AS SELECT nullif(i // 4, 11) AS l_orderkey, CAST(nullif(1 + i % 4, 3) AS INT) AS l_linenumber FROM range(24000) r(i)")
+    for t in ("orders", "lineitem"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, broadcast)
+    try:
+        rows = QUERIES["q08_generation_theta_join"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, before)
+    want = con.sql("SELECT id, generation, verdict, n FROM (" + ORACLE_SQL["q08_generation_theta_join"] + ")").fetchall()
+    assert sorted(((r.id, r.generation, r.verdict, r.n) for r in rows), key=repr) == sorted(want, key=repr)
+    read = Counter()
+    for r in rows:
+        read[r.task] += r.n
+    assert max(read.values()) < 2 * 1000
